@@ -8,16 +8,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import bpe
+from docspan.llm import bpe, decontaminate, simhash
 from docspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP8_SQL = r"""
+with split as (
+  select doc_id, row_number() over () as row_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+item as (
+  select item_id, w, least(10, len(w)) as size from (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null and text is not null) where len(w) > 0),
+item_window as (
+  select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as words from (select item_id, w, size, unnest(range(1, len(w) - size + 2)) as i from item)),
+doc_window as (
+  select row_id, size, i, array_to_string(w[i:i + size - 1], ' ') as words from (select row_id, w, size, unnest(range(1, len(w) - size + 2)) as i from split, (select distinct size from item_window))),
+hit as (select row_id, i, size, item_id from doc_window join item_window using (size, words)),
+covered as (select row_id, count(distinct p) as n from (select row_id, unnest(range(i, i + size)) as p from (select distinct row_id, i, size from hit)) group by row_id),
+named as (select row_id, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct row_id, cast(item_id as varchar) as item from hit) group by row_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(c.n, 0) as bigint) as n_hit, cast(coalesce(m.n, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated
+from split left join covered c using (row_id) left join named m using (row_id)
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import components, cut, small_batches, split_ranges
+from docspan.llm.common import components, cut, local_forest, small_batches
 
 BITS, WORDS, SEED = 64, 4, 42
 #: Fingerprints of one key that are compared with each other at once; larger groups are dealt out as pairs of blocks.
@@ -89,3 +89,87 @@ def chain_passes(x: np.ndarray, first: np.ndarray, distance: int, segments: int)
         total += np.bitwise_count(x & masks[(first + k) % segments])
         ok &= total <= (k + 1) * distance // segments
     return ok
+
+
+def close_pairs(run: np.ndarray, fp: np.ndarray, first: np.ndarray, distance: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of linked fingerprints within equal, adjacent values of run."""
+    left, right = [], []
+    i = np.arange(len(run))
+    d = 1
+    while True:
+        i = i[i + d < len(run)]
+        i = i[run[i] == run[i + d]]
+        if not len(i):
+            break
+        for a in range(0, len(i), 1 << 20):
+            part = i[a : a + (1 << 20)]
+            hit = part[chain_passes(fp[part] ^ fp[part + d], first[part], distance, segments)]
+            left.append(hit)
+            right.append(hit + d)
+        d += 1
+    return (np.concatenate(left), np.concatenate(right)) if left else (i, i)
+
+
+def _linked(distance: int, segments: int):
+    """Over rows (key, bits, x, y, node, fp) sorted by the first four: a spanning forest of the links within equal ones."""
+
+    def stars(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        key, bits, x, y, node, fp = (t.column(i).to_numpy() for i in range(6))
+        new = (key[1:] != key[:-1]) | (bits[1:] != bits[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        run = np.append(0, np.cumsum(new))
+        # the last group may go on in the next batch
+        whole = len(run) if last else int(np.searchsorted(run, run[-1]))
+        i, j = close_pairs(run[:whole], fp[:whole].view(np.uint64), key[:whole], distance, segments)
+        out = None
+        if len(i):
+            child, root = local_forest(node[i], node[j])
+            keep = child != root
+            out = pa.RecordBatch.from_arrays([pa.array(child[keep]), pa.array(root[keep])], names=["a", "b"])
+        return out, t.slice(whole).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                out, held = stars(held, False)
+                if out is not None:
+                    yield out
+        if held:
+            out, _ = stars(held, True)
+            if out is not None:
+                yield out
+
+    return run
+
+
+def links(nodes: DataFrame, distance: int = 4, segments: int = 5, chain: int = 2) -> DataFrame:
+    """Edges (a, b) that connect whatever fingerprints of nodes (node long, _fp long; each _fp once) link at up to distance bits."""
+    masks = chain_masks(distance, segments, chain)
+    keys = F.array(*(F.struct(F.lit(n).alias("mask"), F.lit(first).alias("key"), F.col("_fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64))).alias("bits")) for n, (first, mask) in enumerate(masks)))
+    dealt = nodes.select("node", "_fp", F.explode(keys).alias("k")).select("node", "_fp", "k.*")
+    sizes = dealt.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = dealt.join(sizes, ["mask", "bits"])
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("_fp"), blocks.cast("long")).cast("int")
+    pairs = shared.withColumn("own", own).withColumn("blocks", blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    ready = pairs.repartition("mask", "bits", "x", "y").sortWithinPartitions("mask", "bits", "x", "y")
+    return ready.select("key", "bits", (F.col("mask") * (1 << 31) + F.col("x")).alias("x"), "y", "node", "_fp").mapInArrow(_linked(distance, segments), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, segments: int = 5, chain: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(id, fingerprint 16 hex digits, component_id): one row for each row of docs.
+
+    Documents link whose fingerprints differ in at most distance bits; component_id is the least id reachable. A null or
+    blank text has fingerprint zero and links like any other. Repeated rows each give a row; rows of one id are judged
+    row by row. A row with a null id has its fingerprint's component, or null where no row with an id has that one.
+    """
+    fps = cut(with_fingerprints(docs, text, (id,)))
+    nodes = cut(fps.where(F.col(id).isNotNull()).groupBy("_fp").agg(F.min(id).cast("long").alias("node")))
+    found = components(links(nodes, distance, segments, chain))
+    named = nodes.join(found, "node", "left").select(F.col("_fp").alias("_f"), F.coalesce("component", "node").alias("component_id"))
+    out = fps.join(named, F.col("_fp") == F.col("_f"), "left")
+    return out.select(id, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
