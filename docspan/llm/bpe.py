@@ -27,7 +27,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 OTHER, LETTER, NUMBER, SPACE = range(4)
 NONE = np.int32(2**31 - 1)
 #: Words that a task remembers between chunks.
-WORD_CACHE = 600_000
+WORD_CACHE = 300_000
 
 
 @lru_cache(1)
@@ -330,7 +330,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str = WORD_PATTERN,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_path, pattern)
-        for batch in small_batches(batches, "_text", 24 << 20):
+        for batch in small_batches(batches, "_text", 10 << 20):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             n, ids, out = [], [], []
             for x in encoder.encode(texts):

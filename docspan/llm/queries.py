@@ -5,15 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import bpe, decontaminate, simhash
+from docspan.llm import bpe, decontaminate, langid, maxscore, simhash, toxicity
 from docspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def id_hash(column: str = "doc_id") -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.learn(docs, table(spark, sf_dir, "labels"), allowed=id_hash() % 3 != 1)
+    scored = toxicity.score(docs, net)
+    return scored.select("doc_id", (id_hash() % 3 == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    classifier = langid.learn(docs, allowed=id_hash() % 4 != 2)
+    found = langid.predict(docs.select("doc_id", "text"), classifier)
+    return found.select("doc_id", (id_hash() % 4 == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_narrow").alias("narrow"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,10 +58,25 @@ from split left join covered c using (row_id) left join named m using (row_id)
 """
 
 
+def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP9_SQL = """
+with v as (
+  select vec_id, row_number() over () as row_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum([z[1] * z[2] for z in list_zip(q.e, c.e)]) as bigint) as score from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
+QUERIES: dict[str, Query] = {"op3_toxicity": op3_toxicity, "op5_langid": op5_langid, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_maxscore": op9_maxscore, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op9_maxscore": OP9_SQL}
