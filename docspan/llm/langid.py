@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
 Each language has a raw-content zstandard dictionary of sample texts. A text is cut into pieces, so that the dictionary
-counts all along a long text; every piece is compressed with every dictionary and the sizes add up.
+counts all along a long text; every piece is compressed, in lower case, with every dictionary and the sizes add up.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from docspan.llm.common import fresh_name, small_batches
 
 #: The sample for the dictionaries: so many texts a language (those with the least hash of their id), so many bytes in all.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 96 << 10
-PIECE_BYTES, LEVEL = 2048, 3
+PIECE_BYTES, LEVEL = 2048, 6
 #: A best size that is not smaller than the next by this share is too close to call.
 LEAST_MARGIN = 0.01
 LETTER = re.compile(r"[^\W\d_]")
@@ -31,8 +31,15 @@ class Classifier:
         """samples: texts of each language, the most telling last."""
         self.langs = sorted(samples, key=lambda k: (-len(samples[k]), k))  # ties go to the language with more samples
         self.data = {}
+        # a line that several languages share (a licence, an address) tells nothing
+        where: dict[str, set[str]] = defaultdict(set)
         for lang in self.langs:
-            texts = [t.encode() for t in samples[lang] if t]
+            for t in samples[lang]:
+                for line in (t or "").lower().split("\n"):
+                    where[line].add(lang)
+        for lang in self.langs:
+            own = ("\n".join(x for x in (t or "").lower().split("\n") if len(where[x]) == 1) for t in samples[lang])
+            texts = [t.encode() for t in own if t]
             share = max(64, DICTIONARY_BYTES // max(1, len(texts)))
             self.data[lang] = b"\n".join(t[(len(t) - share) // 2 : (len(t) + share) // 2] if len(t) > share else t for t in texts)[-DICTIONARY_BYTES:] or b"\n"
         self.made = None
@@ -48,7 +55,7 @@ class Classifier:
                 d = zstandard.ZstdCompressionDict(self.data[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
                 self.made.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False).compress)
-        raw = text.encode()
+        raw = text.lower().encode()
         pieces = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
         return np.array([sum(map(len, map(press, pieces))) for press in self.made], dtype=np.int64)
 
