@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import bpe, decontaminate, kdshard, langid, maxscore, simhash, toxicity
+from docspan.llm import bpe, decontaminate, kdshard, langid, linededup, maxscore, simhash, toxicity
 from docspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def id_hash(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = linededup.dropped_lines(docs).select(F.col("id").alias("doc_id"), "drop")
+    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    none = F.array().cast("array<bigint>")
+    return lines.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("drop", none).alias("dropped_lines"), F.size(F.coalesce("drop", none)).cast("long").alias("n_dropped"))
+
+
 def op2_kdshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.shard_documents(table(spark, sf_dir, "documents"), 24)
 
@@ -82,5 +90,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op2_kdshard": op2_kdshard, "op3_toxicity": op3_toxicity, "op5_langid": op5_langid, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_maxscore": op9_maxscore, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op1_linededup": op1_linededup, "op2_kdshard": op2_kdshard, "op3_toxicity": op3_toxicity, "op5_langid": op5_langid, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_maxscore": op9_maxscore, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op9_maxscore": OP9_SQL}
