@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import bpe, decontaminate, kdshard, langid, linededup, maxscore, simhash, toxicity
+from docspan.llm import bpe, decontaminate, kdshard, langid, linededup, maxscore, simhash, suffixdedup, toxicity
 from docspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_hash() % 3 == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("_removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("_removed").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     classifier = langid.learn(docs, allowed=id_hash() % 4 != 2)
@@ -90,5 +96,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_linededup": op1_linededup, "op2_kdshard": op2_kdshard, "op3_toxicity": op3_toxicity, "op5_langid": op5_langid, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_maxscore": op9_maxscore, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op1_linededup": op1_linededup, "op2_kdshard": op2_kdshard, "op3_toxicity": op3_toxicity, "op4_suffixdedup": op4_suffixdedup, "op5_langid": op5_langid, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_maxscore": op9_maxscore, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op9_maxscore": OP9_SQL}
