@@ -1,4 +1,8 @@
-"""Corpus preparation: every stage takes (spark, docs, sf_dir), is written as Parquet and read again as the next one's docs."""
+"""Corpus preparation: every stage takes (spark, docs, sf_dir), is written as Parquet and read again as the next one's docs.
+
+toxicity drops rows that score as toxic; line_dedup cuts repeated and near-repeated lines out of the texts; near_dedup keeps
+one document of each group of near-duplicates; decontaminate drops documents that hold a benchmark window; bpe encodes.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +10,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import bpe
-from docspan.llm.common import shared_folder
+from docspan.llm import bpe, decontaminate, linededup, simhash, toxicity
+from docspan.llm import queries
+from docspan.llm.common import shared_folder, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = toxicity.learn(docs, table(spark, sf_dir, "labels"), allowed=queries.id_hash() % 3 != 1)
+    scored = toxicity.score(docs, net)
+    return scored.where(F.col(scored.columns[-1]) < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
-    ("bpe", tokens),
+    ("toxicity", drop_toxic),
+    ("line_dedup", cut_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("bpe", encode),
 ]
+#: A network scores the first stage, so SQL can't express the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark)
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import bpe, decontaminate, kdshard, langid, linededup, maxscore, simhash, suffixdedup, toxicity
-from docspan.llm.common import table
+from docspan.llm import bpe, decontaminate, kdshard, langid, linededup, maxscore, simhash, suffixdedup, tokenfiles, toxicity
+from docspan.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,14 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_hash() % 4 == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_narrow").alias("narrow"))
 
 
+def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    folder = folder if ":" in folder else f"file://{folder}"
+    written = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256, public_tokenizers.PATTERN)
+    counted = tokenfiles.count_tokens(spark, folder, 50256)
+    return written.join(counted, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens", "file", "ordinal")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -96,5 +104,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_linededup": op1_linededup, "op2_kdshard": op2_kdshard, "op3_toxicity": op3_toxicity, "op4_suffixdedup": op4_suffixdedup, "op5_langid": op5_langid, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_maxscore": op9_maxscore, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op1_linededup": op1_linededup, "op2_kdshard": op2_kdshard, "op3_toxicity": op3_toxicity, "op4_suffixdedup": op4_suffixdedup, "op5_langid": op5_langid, "op6_tokencount": op6_tokencount, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_maxscore": op9_maxscore, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op9_maxscore": OP9_SQL}

@@ -173,3 +173,14 @@ def near_duplicates(docs: DataFrame, distance: int = 4, segments: int = 5, chain
     out = fps.join(named, F.col("_fp") == F.col("_f"), "left")
     return out.select(id, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+
+
+def keep_one(docs: DataFrame, distance: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is the least of their component; one row of each id. Rows with a null id stay."""
+    found = near_duplicates(docs, distance, text=text, id=id)
+    gone = found.where(F.col(id).isNotNull() & (F.col(id).cast("long") != F.col("component_id"))).select(F.col(id).alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(id) == F.col("_gone"), "left_anti")
+    # repeated ids are rare; only then are whole rows compared
+    if docs.where(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
+        kept = kept.where(F.col(id).isNull()).unionByName(kept.where(F.col(id).isNotNull()).dropDuplicates([id]))
+    return kept
