@@ -21,8 +21,9 @@ def _literal(x: Any) -> Column:
     return F.parse_json(F.lit(canonical(x)))
 
 
-def _whole(v: Value) -> Column:
-    return v.variant()
+def without(items: Column, x: Any) -> Column:
+    """An array of VARIANTs without those whose JSON text is x's."""
+    return F.filter(items, lambda i: Value(i, T.VariantType()).raw() != canonical(x))
 
 
 def _object(v: Column) -> Column:
@@ -85,7 +86,7 @@ def change_document(doc: Column, changes: dict) -> Column:
             elif op == "$push":  # a literal top-level name; what is no array is replaced
                 doc = set_path(doc, [path], F.to_variant_object(F.array_append(F.coalesce(items, F.array().cast("array<variant>")), _literal(arg))))
             else:
-                kept = F.filter(items, lambda x, a=arg: Value(x, T.VariantType()).raw() != canonical(a))
+                kept = without(items, arg)
                 doc = F.when(items.isNotNull(), set_path(doc, [path], F.to_variant_object(kept))).otherwise(doc)
     return doc
 
@@ -144,7 +145,7 @@ def change_columns(rel: Relation, changes: dict, match: Column) -> Relation:
                     items = F.when(F.schema_of_variant(c).startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
                     if op == "$push":
                         return F.to_variant_object(F.array_append(F.coalesce(items, F.array().cast("array<variant>")), _literal(arg)))
-                    return F.when(items.isNotNull(), F.to_variant_object(F.filter(items, lambda x: Value(x, T.VariantType()).raw() != canonical(arg)))).otherwise(c)
+                    return F.when(items.isNotNull(), F.to_variant_object(without(items, arg))).otherwise(c)
                 if not isinstance(k, T.ArrayType):
                     return F.array(_cast(arg, k)).cast("string").cast(k) if op == "$push" and isinstance(k, T.StringType) else c
                 item = k.elementType

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspan.errors import QueryError
-from docspan.functions.values import NUMERIC_TEXT, Value
+from docspan.functions.values import NUMERIC_TEXT, Value, json_text
 from docspan.relation import DOC, Relation
 
 MAP = "map<string,variant>"
@@ -51,7 +51,7 @@ def ensure_ids(texts: DataFrame, doc: Column) -> DataFrame:
     given = F.when(F.trim(own.plain()) != "", F.when(own.kind() != "null", own.plain()))
     ided = texts.withColumn(DOC, doc).withColumn("_id", F.coalesce(given, new_id()))
     m = F.try_variant_get(DOC, "$", MAP)
-    identity = F.create_map(F.lit("_id"), F.parse_json(F.to_json(F.struct(F.col("_id").alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("_id").alias("v")))) - 6)))
+    identity = F.create_map(F.lit("_id"), F.parse_json(json_text(F.col("_id"))))
     whole = F.to_variant_object(F.map_concat(F.map_filter(m, lambda k, _: k != "_id"), identity))
     return ided.select("_id", whole.alias(DOC), "_n")
 
