@@ -30,8 +30,8 @@ from docspan.llm.common import cut, fresh_name, small_batches
 
 LENGTH, GRAM = 200, 64
 LEFT = LENGTH - GRAM
-#: A gram that stands more often than this is very frequent.
-FREQUENT = 512
+#: Contexts of a bucket that a task sorts together, about 6 MB; a gram that stands more often than that is very frequent.
+FREQUENT = 20_000
 #: Bits of the filters of repeated and of very frequent grams; fixed sizes, whatever the corpus.
 REPEATED_BITS, FREQUENT_BITS = 1 << 28, 1 << 24
 #: Splitters at most, and bytes of a text that are hashed at once.
@@ -188,7 +188,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         if not batch.num_rows:
             continue
-        if rows > 20_000:  # all groups but the last are complete
+        if rows > FREQUENT:  # all groups but the last are complete
             t = pa.Table.from_batches(held).combine_chunks()
             grams = t.column("gram").to_numpy()
             whole = int(np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))[-1])
@@ -216,16 +216,18 @@ def intervals(docs: DataFrame, text: str = "text") -> DataFrame:
                 found.append(gram)
                 for g, a in zip(gram.tolist(), at.tolist(), strict=True):
                     if g & 63 == 0:
-                        leads[g] = data[a : a + LEAD]
+                        leads[g] = int.from_bytes(data[a : a + 8]) - (1 << 63), int.from_bytes(data[a + 8 : a + LEAD]) - (1 << 63)
             gram, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), pa.array([leads.get(g) for g in gram.tolist()], pa.binary())], names=["gram", "n", "lead"])
+            own = [leads.get(g, (None, None)) for g in gram.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), *(pa.array([o[k] for o in own], pa.int64()) for k in (0, 1))], names=["gram", "n", "hi", "lo"])
 
-    counts = texts.mapInArrow(count, "gram long, n long, lead binary").groupBy("gram").agg(F.sum("n").alias("n"), F.min(F.hex("lead")).alias("lead")).where("n > 1")
+    # the leading bytes of one gram are the same in all its rows
+    counts = texts.mapInArrow(count, "gram long, n long, hi long, lo long").groupBy("gram").agg(F.sum("n").alias("n"), F.min("hi").alias("hi"), F.min("lo").alias("lo")).where("n > 1")
     counts = cut(counts)
     size = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("m")).first()
     buckets = max(16, min(SPLITTERS, size.m // 4000))
     # a bounded sample of leading bytes, of grams with the least hashes
-    sample = sorted(bytes.fromhex(r.lead) for r in counts.where("lead is not null").orderBy(F.xxhash64("gram")).select("lead").limit(4 * SPLITTERS).collect())
+    sample = sorted((r.hi + (1 << 63)).to_bytes(8) + (r.lo + (1 << 63)).to_bytes(8) for r in counts.where("hi is not null").orderBy(F.xxhash64("gram")).select("hi", "lo").limit(4 * SPLITTERS).collect())
     splitters = sample[:: max(1, len(sample) // buckets)]
     sent = spark.sparkContext.broadcast((_filter(counts, REPEATED_BITS), _filter(counts.where(F.col("n") > FREQUENT), FREQUENT_BITS), np.array(splitters or [b"~"], dtype=f"S{LEAD}")))
 
@@ -310,9 +312,12 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for batch in small_batches(batches, names.index(text)):
             size, gone, kept = [], [], []
+            last: tuple = (None, None)
             for t, s in zip(batch.column(names.index(text)).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 data = (t or "").encode()
-                cuts = merge([(x["begin"], x["end"]) for x in s or []])
+                # copies of one text follow each other after the join
+                cuts = last[1] if t == last[0] and t is not None else merge([(x["begin"], x["end"]) for x in s or []])
+                last = (t, cuts)
                 edges = [0, *(e for c in cuts for e in c), len(data)]
                 size.append(len(data))
                 gone.append([{"begin": a, "end": b} for a, b in cuts])
