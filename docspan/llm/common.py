@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds at once.
 CHUNK_BYTES = 16 << 20
+#: Links that one task joins by itself, about 2 MB; more go through distributed rounds.
+FEW_LINKS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,13 +121,16 @@ def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Distributed union-find: (node, component) for every node with an edge; component is the least node reachable.
 
-    Each partition first reduces its edges to stars (a spanning forest keeps all links). Then large-star and small-star
-    rounds run until no star changes. Every round groups by a minimum, with partial sums, and joins that back, so a hub
-    with any number of links is never gathered in one task. Self-links are ignored; null ends are dropped.
+    Each partition first reduces its edges to stars (a spanning forest keeps all links). If no more than FEW_LINKS are left,
+    a task on an executor finishes them. Else large-star and small-star rounds run until no star changes. Every round groups
+    by a minimum, with partial sums, and joins that back, so a hub with any number of links is never gathered in one task.
+    Self-links are ignored; null ends are dropped.
     """
     e = edges.select(F.col(left).cast("long").alias("node"), F.col(right).cast("long").alias("root")).where("node is not null and root is not null and node <> root")
-    e = cut(e.mapInArrow(_forest_batches, "node long, root long").distinct())
-    while True:
+    e = cut(e.mapInArrow(_forest_batches, "node long, root long"))
+    few = e.count() <= FEW_LINKS
+    new = cut(e.coalesce(1).mapInArrow(_forest_batches, "node long, root long")) if few else e
+    while not few:
         both = e.unionByName(e.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("m")).select(F.col("node").alias("n"), F.least("node", "m").alias("m"))
         # large star: larger neighbours go to the least one

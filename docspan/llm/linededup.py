@@ -132,11 +132,13 @@ def verified(lines: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     h, count = shingles(lines)
     sets = [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
     size = np.array([len(s) for s in sets])
+    keys = band_keys(lines)
     root = np.arange(len(lines))
     left, right = [], []
     for i in np.lexsort((ids, -size)):
-        # lines that i is not connected with, and not too short or long
+        # candidates of i (not too short or long, with a key in common) that it is not connected with
         rest = np.flatnonzero((root != root[i]) & (size >= SIMILARITY * size[i]) & (size * SIMILARITY <= size[i]))
+        rest = rest[(keys[rest] == keys[i]).any(axis=1)]
         if not len(rest):
             continue
         counts = size[rest]
