@@ -143,6 +143,129 @@ nql("delete_rest", "db.orders.delete({ o_totalprice: { $lt: 100000 } })", ORDERS
 nql("delete_all", "db.nation.delete()", "select * from nation where false")
 
 
+# tooling: profiles, files, pages, import and export
+
+
+def _profile(t: Tables) -> DataFrame:
+    from docspan.operators.profile import profile
+
+    return profile(t.relation("documents"), 2).select("field", "types", "present", "missing", "coverage")
+
+
+add(
+    "profile_fields",
+    _profile,
+    "select field, types, cast((select count(*) from documents) as bigint) as present, cast(0 as bigint) as missing, cast(100.0 as double) as coverage from (values ('doc_id', 'number'), ('text', 'string'), ('lang', 'string'), ('source', 'string'), ('n_chars', 'number')) v(field, types)",
+)
+
+
+def _coverage(t: Tables) -> DataFrame:
+    """A profile with gaps: labels as they stand next to documents."""
+    from docspan.operators.profile import profile
+    from docspan.relation import typed
+
+    marks = t.relation("labels").df.withColumnRenamed("doc_id", "own")
+    return profile(typed(t.relation("documents").df.select("doc_id").join(marks, F.col("doc_id") == F.col("own"), "left").drop("own"), "doc_id")).select("field", "present", "missing")
+
+
+add("profile_coverage", _coverage, "select field, cast(count(x) as bigint) as present, cast(count(*) - count(x) as bigint) as missing from (select d.doc_id, unnest(['doc_id', 'quality', 'toxic']) as field, unnest([d.doc_id, l.quality, l.toxic]) as x from documents d left join labels l using (doc_id)) group by 1")
+
+
+def _files(t: Tables) -> DataFrame:
+    from docspan.sources import filestore
+
+    files = t.relation("documents").df.select(F.col("doc_id").alias("_id"), F.col("text").cast("binary").alias("content"))
+    return filestore.assembled(filestore.chunked(files, 1024)).select(F.col("files_id").cast("long").alias("doc_id"), F.md5("content").alias("md5"))
+
+
+add("filestore_roundtrip", _files, "select doc_id, md5(text) as md5 from documents where strlen(text) > 0")
+
+
+def _chunks(t: Tables) -> DataFrame:
+    from docspan.sources import filestore
+
+    files = t.relation("documents").df.select(F.col("doc_id").alias("_id"), F.col("text").cast("binary").alias("content"))
+    return filestore.chunked(files, 4).groupBy(F.col("files_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+add("filestore_chunks", _chunks, "select doc_id, cast(ceil(strlen(text) / 1024.0) as bigint) as chunks from documents where strlen(text) > 0")
+
+
+def _page(t: Tables) -> DataFrame:
+    from docspan.operators.browse import page_rows
+
+    return page_rows(t.relation("orders"), "o_orderstatus: F", 2, 50).df
+
+
+add("browse_page", _page, "select * from orders where o_orderstatus = 'F' order by o_orderkey limit 51 offset 100")
+
+
+def _built_filter(t: Tables) -> DataFrame:
+    from docspan.operators.browse import build
+
+    return t.find("part", build("p_name", "contains", "small")).df
+
+
+add("browse_built_filter", _built_filter, "select * from part where contains(p_name, 'small')")
+
+
+def _search(t: Tables) -> DataFrame:
+    from docspan.operators.profile import find_in_page
+
+    return find_in_page(t.relation("nation"), "nation_1", ["n_name"]).df
+
+
+add("find_in_page", _search, "select * from nation where contains(lower(n_name), 'nation_1')")
+
+
+def _grid(t: Tables) -> DataFrame:
+    from docspan.operators.profile import grid
+
+    return grid(t.relation("customer"), ["c_custkey", "c_name", "nothing.here"]).withColumnRenamed("nothing.here", "gap")
+
+
+add("grid_cells", _grid, "select cast(c_custkey as varchar) as c_custkey, c_name, '' as gap from customer")
+
+
+def _json_round_trip(t: Tables) -> DataFrame:
+    from docspan.relation import documents
+    from docspan.sources.documents import ensure_ids, json_rows
+
+    texts = json_rows(t.relation("part")).select(F.col("json"), F.lit(0).cast("long").alias("_n"))
+    rel = documents(ensure_ids(texts, F.parse_json("json")).withColumnRenamed("_n", "_ord"))
+    return rel.df.select("_id", rel.resolve("p_name").text().alias("p_name"), rel.resolve("p_size").number().cast("int").alias("p_size"), rel.resolve("p_retailprice").number().alias("p_retailprice"))
+
+
+add("json_roundtrip", _json_round_trip, 'select cast(p_partkey as varchar) as "_id", p_name, p_size, p_retailprice from part')
+
+
+def _csv_round_trip(t: Tables) -> DataFrame:
+    from docspan.relation import documents
+    from docspan.sources.documents import _from_cells, csv_frame
+
+    rel = documents(_from_cells(csv_frame(t.relation("supplier"))).withColumnRenamed("_n", "_ord"))
+    return rel.df.select("_id", rel.resolve("s_name").text().alias("s_name"), rel.resolve("s_acctbal").number().alias("s_acctbal"))
+
+
+add("csv_roundtrip", _csv_round_trip, 'select cast(s_suppkey as varchar) as "_id", s_name, s_acctbal from supplier')
+
+
+def _documents(t: Tables) -> DataFrame:
+    """Document mode end to end: typed rows packed as documents, then filtered, sorted and projected."""
+    from docspan.operators.stages import run_find
+    from docspan.plans.syntax import parse
+    from docspan.relation import documents
+    from docspan.sources.documents import ensure_ids, json_rows
+
+    texts = json_rows(t.relation("orders")).select("json", F.lit(0).cast("long").alias("_n"))
+    rel = documents(ensure_ids(texts, F.parse_json("json")).withColumnRenamed("_n", "_ord"))
+    out = run_find(rel, parse('db.orders.find({ o_orderstatus: "F", o_totalprice: { $gte: 300000 } }).sort({ o_totalprice: -1 }).limit(40).project({ o_totalprice: 1 })'))
+    return out.df.select("_id", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
+add("document_mode_find", _documents, """select cast(o_orderkey as varchar) as "_id", o_totalprice from orders where o_orderstatus = 'F' and o_totalprice >= 300000 order by o_totalprice desc limit 40""")
+
+
 def _tagged(t: Tables) -> Tables:
     from docspan.relation import typed
 
