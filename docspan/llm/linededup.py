@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ from docspan.llm.common import components, cut, small_batches, split_ranges
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
 #: Lines of a candidate group that are verified together; larger groups are dealt out as pairs of blocks.
 BLOCK = 1000
+#: Bytes of text that a task works on at once, and lines that it remembers having sent.
+CHUNK, SEEN = 1 << 20, 300_000
+#: Groups of no more lines are verified pair by pair, whatever keys they share.
+SMALL = 24
 #: Bits of the filter of candidate lines: a fixed 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
 _RNG = np.random.default_rng(20)
@@ -89,13 +94,13 @@ def lines_of(text: str | None) -> list[str]:
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    for batch in small_batches(batches, 0, 4 << 20):
+    for batch in small_batches(batches, 0, CHUNK):
         own: dict[int, str] = {}
         for line in {x for t in batch.column(0).to_pylist() for x in lines_of(t)}:
             own[line_id(line)] = line
         ids = [i for i in own if i not in seen]
         seen.update(ids)
-        if len(seen) > 2_000_000:
+        if len(seen) > SEEN:
             seen.clear()
         if ids:
             keys = band_keys([own[i] for i in ids])
@@ -127,18 +132,17 @@ def jaccard(one: np.ndarray, many: np.ndarray, starts: np.ndarray, counts: np.nd
     return both / (len(one) + counts - both)
 
 
-def verified(lines: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def verified(lines: list[str], ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that connect all the lines whose similarity is SIMILARITY or more, directly or through others."""
-    h, count = shingles(lines)
-    sets = [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
     size = np.array([len(s) for s in sets])
-    keys = band_keys(lines)
+    keys = band_keys(lines) if len(lines) > SMALL else None
     root = np.arange(len(lines))
     left, right = [], []
     for i in np.lexsort((ids, -size)):
         # candidates of i (not too short or long, with a key in common) that it is not connected with
         rest = np.flatnonzero((root != root[i]) & (size >= SIMILARITY * size[i]) & (size * SIMILARITY <= size[i]))
-        rest = rest[(keys[rest] == keys[i]).any(axis=1)]
+        if keys is not None:
+            rest = rest[(keys[rest] == keys[i]).any(axis=1)]
         if not len(rest):
             continue
         counts = size[rest]
@@ -152,31 +156,48 @@ def verified(lines: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (component, x, y, line, words) rows with equal ones of the first three together: the verified links."""
+
     def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        ids = t.column("line").to_numpy()
-        _, once = np.unique(ids, return_index=True)
-        if len(once) > 1:
-            texts = t.column("words").to_pylist()
-            ids = ids[once]
-            i, j = verified([texts[k] for k in once], ids)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+        ids, texts = t.column("line").to_numpy(), t.column("words").to_pylist()
+        parts = [t.column(c).to_numpy() for c in ("component", "x", "y")]
+        cuts = np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
+        h, count = shingles(texts)
+        sets = [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+        left, right = [], []
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+            _, once = np.unique(ids[lo:hi], return_index=True)
+            once += lo
+            if len(once) > 1:
+                i, j = verified([texts[k] for k in once], ids[once], [sets[k] for k in once])
+                left.append(ids[once[i]])
+                right.append(ids[once[j]])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
-    key = None
+    size, key = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
         parts = [batch.column(c).to_numpy() for c in ("component", "x", "y")]
-        cuts = np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-            now = tuple(p[lo] for p in parts)
-            if held and now != key:
-                yield from links(held)
-                held = []
+        new = np.any([p[1:] != p[:-1] for p in parts], axis=0)
+        bytes_ = np.cumsum(pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False))
+        starts = np.append(0, np.flatnonzero(new) + 1)
+        at = 0
+        for start in starts.tolist():
+            now = tuple(p[start] for p in parts)
+            here = int(bytes_[start - 1]) if start else 0
+            if size + here - (int(bytes_[at - 1]) if at else 0) > CHUNK and now != key:
+                if start > at:
+                    held.append(batch.slice(at, start - at))
+                if held:
+                    yield from links(held)
+                held, size, at = [], 0, start
             key = now
-            held.append(batch.slice(lo, hi - lo))
+        held.append(batch.slice(at))
+        size += int(bytes_[-1]) - (int(bytes_[at - 1]) if at else 0)
     if held:
         yield from links(held)
 
@@ -201,7 +222,9 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in small_batches(batches, 0, 4 << 20):
+        for batch in small_batches(batches, 0, CHUNK):
+            if len(seen) > SEEN:
+                seen.clear()
             lines = list({x for t in batch.column(0).to_pylist() for x in lines_of(t)})
             if not lines:
                 continue
