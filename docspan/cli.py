@@ -22,6 +22,7 @@ def _parser() -> argparse.ArgumentParser:
             v.add_argument(a.rstrip("?"), nargs="?" if a.endswith("?") else None)
         for o, kw in options.items():
             v.add_argument(f"--{o}", **kw)
+        v.add_argument("--passphrase")
         return v
 
     number = {"type": int}
@@ -40,6 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     verb("delete-id", "database", "collection", "id")
     verb("explain", "database", "text", "filter?")
     verb("samples", "collection?")
+    verb("changkey", "database", "new")
     return p
 
 
@@ -53,8 +55,8 @@ def run(args: list[str], spark: Any = None) -> Any:
 
         spark = SparkSession.builder.appName("docspan").getOrCreate()
     if a.verb == "restore":
-        return Database.restore(spark, a.source, a.database, a.overwrite).stats()
-    db = Database(spark, a.database, create=a.verb in ("insert", "query"))
+        return Database.restore(spark, a.source, a.database, a.overwrite, a.passphrase).stats()
+    db = Database(spark, a.database, create=a.verb in ("insert", "query"), passphrase=a.passphrase)
     if a.verb == "info":
         return db.stats()
     if a.verb == "collections":
@@ -64,6 +66,9 @@ def run(args: list[str], spark: Any = None) -> Any:
     if a.verb == "compact":
         db.compact()
         return db.stats()
+    if a.verb == "changkey":
+        db.change_passphrase(a.new)
+        return {"changed": a.database}
     if a.verb == "backup":
         db.backup(a.target)
         return {"backup": a.target}

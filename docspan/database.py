@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspan.errors import DocspanError, DuplicateId, IntegrityError, NotFound, QueryError
+from docspan.errors import DocspanError, DuplicateId, EncryptionError, IntegrityError, NotFound, QueryError
 from docspan.functions.values import Value
 from docspan.operators import browse, profile, stages, updates
 from docspan.operators.filters import condition, where
@@ -28,6 +28,7 @@ from docspan.relation import DOC, ORD, Relation, documents
 from docspan.session import Query, Result
 from docspan.sources import documents as io
 from docspan.sources import filestore
+from docspan.sources.encryption import Vault
 from docspan.sources.storage import Store
 
 LONGEST_NAME = 120
@@ -35,6 +36,7 @@ ID_INDEX = "_id_"
 HIDDEN = "__schema"
 RESERVED = (HIDDEN, "fs.files", "fs.chunks")
 SCHEMA = "_id string, doc variant, _ord long"
+SEALED = "_id string, doc binary, _ord long"
 #: Declared types and their defaults.
 TYPES = {"TEXT": "", "INTEGER": 0, "REAL": 0.0, "BOOLEAN": False, "DATETIME": None}
 
@@ -100,9 +102,17 @@ def declared(columns: Iterable[Column_ | dict]) -> list[Column_]:
 
 
 class Database:
-    def __init__(self, spark: SparkSession, path: str, *, create: bool = True, read_only: bool = False, lookup_cap: int = 0):
+    def __init__(self, spark: SparkSession, path: str, *, create: bool = True, read_only: bool = False, lookup_cap: int = 0, passphrase: str | None = None):
+        """passphrase: documents of a new database are encrypted, those of an old one are opened; ids stay plain."""
         self.spark, self.path, self.read_only, self.lookup_cap = spark, path, read_only, lookup_cap
         self.store = Store(spark, path)
+        self.vault: Vault | None = None
+        if self.store.exists("manifests"):
+            locked = Vault.is_encrypted(spark, path)
+            if locked != (passphrase is not None):
+                raise EncryptionError(f"{path} needs a passphrase" if locked else f"{path} is not encrypted")
+        if passphrase is not None and (create or self.store.exists("manifests")):
+            self.vault = Vault(spark, path, passphrase)
         if not self.store.exists("manifests"):
             if not create or read_only:
                 raise NotFound(f"no database at {path}")
@@ -238,7 +248,7 @@ class Database:
         self.store.copy_to(other)
 
     @staticmethod
-    def restore(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> Database:
+    def restore(spark: SparkSession, source: str, target: str, overwrite: bool = False, passphrase: str | None = None) -> Database:
         old, new = Store(spark, source), Store(spark, target)
         if not old.exists("manifests"):
             raise NotFound(f"no database at {source}")
@@ -247,7 +257,13 @@ class Database:
                 raise DocspanError(f"{target} is there already")
             new.delete("")
         old.copy_to(new)
-        return Database(spark, target, create=False)
+        return Database(spark, target, create=False, passphrase=passphrase)
+
+    def change_passphrase(self, new: str) -> None:
+        """Wraps the data key anew; documents stay as they are."""
+        if self.vault is None:
+            raise EncryptionError(f"{self.path} is not encrypted")
+        self.vault.change_passphrase(new)
 
     def compact(self) -> None:
         """Writes every collection anew as one folder, with its layout, and drops folders and manifests out of use."""
@@ -318,11 +334,18 @@ class Collection:
 
     # reading
 
+    def _read(self, folders: list[str]) -> DataFrame:
+        spark, vault = self.db.spark, self.db.vault
+        if not folders:
+            return spark.createDataFrame([], SCHEMA)
+        paths = [f"{self.db.store.root}/{f}" for f in folders]
+        if vault is None:
+            return spark.read.schema(SCHEMA).parquet(*paths)
+        return vault.open(spark.read.schema(SEALED).parquet(*paths), DOC).withColumn(DOC, F.parse_json(DOC))
+
     def relation(self) -> Relation:
         """All documents; an unknown collection is empty, and stays unknown."""
-        folders = [f"{self.db.store.root}/{f}" for f in self.entry["folders"]]
-        spark = self.db.spark
-        return documents(spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA))
+        return documents(self._read(self.entry["folders"]))
 
     @property
     def df(self) -> DataFrame:
@@ -397,7 +420,10 @@ class Collection:
 
     def _save(self, df: DataFrame) -> str:
         folder = f"data/{uuid.uuid4().hex}"
-        self._layout(df.select("_id", DOC, ORD)).write.parquet(f"{self.db.store.root}/{folder}")
+        rows = self._layout(df.select("_id", DOC, ORD))
+        if self.db.vault is not None:
+            rows = self.db.vault.seal(rows.withColumn(DOC, F.to_json(DOC)), DOC)
+        rows.write.parquet(f"{self.db.store.root}/{folder}")
         return folder
 
     def _check_unique(self, df: DataFrame, undo: str | None = None) -> None:
@@ -414,7 +440,7 @@ class Collection:
     def _rewrite(self, df: DataFrame) -> None:
         folder = self._save(df)
         if any(i["unique"] for i in self.entry["indexes"]):
-            self._check_unique(self.db.spark.read.schema(SCHEMA).parquet(f"{self.db.store.root}/{folder}"), folder)
+            self._check_unique(self._read([folder]), folder)
         self._change(folders=[folder])
 
     def _append(self, rows: DataFrame) -> int:
@@ -426,7 +452,7 @@ class Collection:
                 missing = Value(F.col(DOC), T.VariantType()).child([name]).column.isNull()
                 rows = rows.withColumn(DOC, F.when(missing, updates.set_path(F.col(DOC), [name], F.parse_json(F.lit(json.dumps(value))))).otherwise(F.col(DOC)))
         folder = self._save(rows.select("_id", DOC, (F.col("_n") + start).alias(ORD)))
-        new = self.db.spark.read.schema(SCHEMA).parquet(f"{self.db.store.root}/{folder}")
+        new = self._read([folder])
         size = new.agg(F.count(F.lit(1)).alias("n"), F.max(ORD).alias("last")).first()
         if size.n:
             twice = new.groupBy("_id").count().where("count > 1").select("_id").limit(1).collect() or (new.select("_id").join(self.df.select("_id"), "_id", "left_semi").limit(1).collect() if self.entry["folders"] else [])

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from docspan.cli import main
+from docspan.database import Database
 from docspan.errors import EncryptionError, UnsupportedOperator
 from docspan.operators.profile import find_in_page, grid
 from docspan.relation import typed
@@ -72,6 +73,22 @@ def test_encryption(spark, tmp_path):
         Vault(spark, path, "one")
 
 
+def test_encrypted_database(spark, tmp_path, capsys):
+    path = f"file://{tmp_path}/locked"
+    db = Database(spark, path, passphrase="one")
+    db["a"].insert_many([{"_id": "1", "v": 5}, {"_id": "2", "v": "needle"}])
+    assert db["a"].update({"_id": "1"}, {"$inc": {"v": 1}}) == 1 and db["a"].get("1") == {"_id": "1", "v": 6}
+    stored = b"".join(p.read_bytes() for p in (tmp_path / "locked").rglob("*.parquet"))
+    assert b"needle" not in stored
+    assert main(["info", path], spark) == 2 and main(["info", path, "--passphrase", "two"], spark) == 2
+    assert main(["changkey", path, "two", "--passphrase", "one"], spark) == 0
+    again = Database(spark, path, passphrase="two")
+    assert [d["v"] for d in again["a"].find({"v": {"$ne": 7}}).sort("_id").to_list()] == [6, "needle"]
+    Database(spark, f"file://{tmp_path}/plain")
+    with pytest.raises(EncryptionError):
+        Database(spark, f"file://{tmp_path}/plain", passphrase="x")
+
+
 def test_grid_and_find_in_page(spark):
     rel = typed(spark.createDataFrame([(1, "Apple", 2.5), (2, None, 3.0)], "k int, s string, v double"), "k")
     assert [tuple(r) for r in grid(rel, ["k", "s", "zz"]).collect()] == [("1", "Apple", ""), ("2", "", "")]
