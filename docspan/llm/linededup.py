@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import components, cut, small_batches, split_ranges
+from docspan.llm.common import components, cut, fresh_name, small_batches, split_ranges
 
 #: Characters in a shingle; bands and rows of the signature; the least Jaccard similarity of a link.
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
@@ -287,9 +287,11 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     Every row stays, even if no line does (its text is then empty). Blank lines never go. A null text stays null. Rows of
     one id are copies of one document and get one result; rows with a null id stay as they are. Empty tables stay empty.
     """
-    gone = dropped_lines(docs, id, text).select(F.col("id").alias("_gone_id"), F.col("drop").alias("_dropped"))
-    out = docs.join(gone, F.col(id) == F.col("_gone_id"), "left").drop("_gone_id")
+    own, drop, size = (fresh_name(x, docs.columns) for x in ("_gone_id", "_dropped", "_lines"))
+    gone = dropped_lines(docs, id, text).select(F.col("id").alias(own), F.col("drop").alias(drop))
+    out = docs.join(gone, F.col(f"`{id}`") == F.col(f"`{own}`"), "left").drop(own)
     lines = F.split(F.col(text), LINE_END, -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_dropped", i.cast("long"))), LINE_END)
-    out = out.withColumn("_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(kept))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i.cast("long"))), LINE_END)
+    out = out.withColumn(size, F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    out = out.withColumn(text, F.when(F.col(drop).isNull(), F.col(text)).otherwise(kept))
+    return out.select(*(f"`{c}`" for c in docs.columns), size, drop)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import components, cut, local_forest, small_batches
+from docspan.llm.common import components, cut, fresh_name, local_forest, small_batches
 
 BITS, WORDS, SEED = 64, 4, 42
 #: Fingerprints of one key that are compared with each other at once; larger groups are dealt out as pairs of blocks.
@@ -178,8 +178,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4, segments: int = 5, chain
 def keep_one(docs: DataFrame, distance: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is the least of their component; one row of each id. Rows with a null id stay."""
     found = near_duplicates(docs, distance, text=text, id=id)
-    gone = found.where(F.col(id).isNotNull() & (F.col(id).cast("long") != F.col("component_id"))).select(F.col(id).alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id) == F.col("_gone"), "left_anti")
+    own = fresh_name("_gone", docs.columns)
+    gone = found.where(F.col(id).isNotNull() & (F.col(id).cast("long") != F.col("component_id"))).select(F.col(id).alias(own)).distinct()
+    kept = docs.join(gone, F.col(id) == F.col(own), "left_anti")
     # repeated ids are rare; only then are whole rows compared
     if docs.where(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
         kept = kept.where(F.col(id).isNull()).unionByName(kept.where(F.col(id).isNotNull()).dropDuplicates([id]))

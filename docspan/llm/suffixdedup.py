@@ -304,9 +304,10 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     names = docs.columns
     add = [fresh_name(x, names) for x in ("_n_bytes", "_removed", "_kept")]
     spans = intervals(docs, text).mapInArrow(_unions, "key binary, begin long, end long")
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
-    keyed = docs.withColumn("_text_key", F.unhex(F.md5(F.col(text).cast("binary"))))
-    joined = keyed.join(spans, F.col("_text_key") == F.col("key"), "left").select(*(docs[c] for c in names), "_spans")
+    own, other, found = (fresh_name(x, names) for x in ("_text_key", "_key", "_spans"))
+    spans = spans.groupBy(F.col("key").alias(other)).agg(F.collect_set(F.struct("begin", "end")).alias(found))
+    keyed = docs.withColumn(own, F.unhex(F.md5(F.col(text).cast("binary"))))
+    joined = keyed.join(spans, F.col(f"`{own}`") == F.col(f"`{other}`"), "left").select(*(F.col(f"`{c}`") for c in names), f"`{found}`")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
