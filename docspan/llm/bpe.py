@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from docspan.llm.common import small_batches, split_ranges
+from docspan.llm.common import map_arrow, small_batches, split_ranges
 
 #: The split pattern that split_starts() carries out on arrays. Other patterns go through the regex library.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -330,7 +330,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str = WORD_PATTERN,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_path, pattern)
-        for batch in small_batches(batches, "_text", 10 << 20):
+        for batch in small_batches(batches, "_text"):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             n, ids, out = [], [], []
             for x in encoder.encode(texts):
@@ -340,4 +340,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str = WORD_PATTERN,
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(out, pa.binary())], names=[*keep, "n_tokens", "ids", "decoded"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return src.mapInArrow(run, f"{kinds}, n_tokens long, ids binary, decoded binary")
+    return map_arrow(src, run, f"{kinds}, n_tokens long, ids binary, decoded binary")

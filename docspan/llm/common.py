@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,35 +14,71 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker holds at once.
-CHUNK_BYTES = 16 << 20
-#: Links that one task joins by itself, about 2 MB; more go through distributed rounds.
-FEW_LINKS = 100_000
+#: Bytes of text that a Python worker holds at once, and of the Arrow batches that it is sent.
+CHUNK_BYTES = 4 << 20
+#: Links that one task joins by itself, 16 MB; more go through distributed rounds.
+FEW_LINKS = 1 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docspan-checkpoint-"))
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names, as a full URI; the folder that the context has where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    root = named or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="docspan-checkpoint-")  # one machine, as in tests
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///") if re.match("file:/[^/]", full) else full
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under the checkpoint folder, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/docspan-{uuid.uuid4().hex}"
+    """A new folder's URI under the checkpoint folder, which all executors share."""
+    return f"{checkpoint_root(spark).rstrip('/')}/docspan-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, so that no executor's loss repeats the work."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _give_back() -> None:
+    """Hands memory that a task has freed back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of about CHUNK_BYTES, unless the session has set their size itself."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == f"{64 << 20}b":  # the default, for which a worker holds hundreds of MB
+        conf.set(BATCH_BYTES, str(CHUNK_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def fresh_name(base: str, taken: Iterable[str]) -> str:
     """base, or base with underscores in front, so that it differs from each of taken."""
     low = {t.lower() for t in taken}
@@ -127,9 +165,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Self-links are ignored; null ends are dropped.
     """
     e = edges.select(F.col(left).cast("long").alias("node"), F.col(right).cast("long").alias("root")).where("node is not null and root is not null and node <> root")
-    e = cut(e.mapInArrow(_forest_batches, "node long, root long"))
+    e = cut(map_arrow(e, _forest_batches, "node long, root long"))
     few = e.count() <= FEW_LINKS
-    new = cut(e.coalesce(1).mapInArrow(_forest_batches, "node long, root long")) if few else e
+    new = cut(map_arrow(e.coalesce(1), _forest_batches, "node long, root long")) if few else e
     while not few:
         both = e.unionByName(e.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("m")).select(F.col("node").alias("n"), F.least("node", "m").alias("m"))

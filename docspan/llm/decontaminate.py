@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import fresh_name, small_batches, split_ranges
+from docspan.llm.common import fresh_name, map_arrow, small_batches, split_ranges
 
 WINDOW, SHINGLE = 10, 5
 #: Bytes of benchmark text whose index is broadcast; a larger benchmark is joined block by block.
@@ -171,7 +171,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
         counts = {size: np.zeros(len(k), dtype=np.int64) for size, k in index.shingles.items()}
         # one row at most for each shingle of the block
-        for r in texts.mapInArrow(tally, "size long, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect():
+        for r in map_arrow(texts, tally, "size long, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect():
             counts[r["size"]][r["at"]] = r.n
         index.prune(counts)
         shared.append(spark.sparkContext.broadcast(index))
@@ -205,7 +205,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=[*names, *add])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, `{add[0]}` long, `{add[1]}` array<struct<begin:long,end:long>>, `{add[2]}` array<string>")
+    return map_arrow(docs, run, f"{kinds}, `{add[0]}` long, `{add[1]}` array<struct<begin:long,end:long>>, `{add[2]}` array<string>")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

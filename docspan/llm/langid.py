@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspan.llm.common import fresh_name, small_batches
+from docspan.llm.common import fresh_name, map_arrow, small_batches
 
 #: The sample for the dictionaries: so many texts a language (those with the least hash of their id), so many bytes in all.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 96 << 10
@@ -108,4 +108,4 @@ def predict(docs: DataFrame, classifier: Classifier, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], names=[*names, *add])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, `{add[0]}` string, `{add[1]}` double, `{add[2]}` boolean")
+    return map_arrow(docs, run, f"{kinds}, `{add[0]}` string, `{add[1]}` double, `{add[2]}` boolean")

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspan.llm.common import map_arrow
+
 #: Candidates in a shard and queries in a block, at most about.
 SHARD_ROWS, BLOCK_ROWS = 32_768, 2048
 #: Candidates whose postings are traversed before the threshold is raised again.
@@ -148,6 +150,6 @@ def top_k(vectors: DataFrame, asks, k: int = 20, id: str = "vec_id", vector: str
     asked = rows.where("ask").dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
     held = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards)).cast("int")).withColumn("block", every(blocks)).withColumn("ask", F.lit(False))
     both = asked.select("shard", "block", "ask", "id", "v").unionByName(held.select("shard", "block", "ask", "id", "v"))
-    found = both.repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    found = map_arrow(both.repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block"), _search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

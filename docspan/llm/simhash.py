@@ -8,6 +8,7 @@ Pairs that share a key go through the chain's cumulative test and then the full
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -17,25 +18,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import components, cut, fresh_name, local_forest, small_batches
+from docspan.llm.common import components, cut, fresh_name, local_forest, map_arrow, small_batches
 
 BITS, WORDS, SEED = 64, 4, 42
 #: Fingerprints of one key that are compared with each other at once; larger groups are dealt out as pairs of blocks.
 BLOCK = 512
+#: Bytes of a text that are hashed at once, up to the end of a word.
+SEGMENT = 1 << 18
+#: What stands between words.
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> list[int]:
-    """XXH64 of every shingle of the lower-cased words, repeats included."""
-    parts = text.lower().split()
-    if not parts:
-        return []
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        return [xxhash.xxh64_intdigest(joined, seed)]
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    starts = np.append(0, ends[:-words])
+def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of the lower-cased words, repeats included; a SEGMENT of the text at a time."""
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist(), strict=True)]
+    carry: list[bytes] = []
+    at, some = 0, False
+    while at < len(text):
+        end = SPACE.search(text, at + SEGMENT)
+        to = end.start() if end else len(text)
+        parts = carry + text[at:to].lower().split()
+        at = to
+        if len(parts) >= words:
+            joined = b" ".join(parts)
+            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+            starts = np.append(0, ends[:-words])
+            stops = ends[words - 1 :] - 1
+            yield np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), np.uint64, len(starts))
+            some = True
+            parts = parts[len(parts) - words + 1 :]
+        carry = parts
+    if carry and not some:
+        yield np.array([digest(b" ".join(carry), seed)], dtype=np.uint64)
 
 
 def fingerprints(texts: list[str | None], words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -43,13 +57,12 @@ def fingerprints(texts: list[str | None], words: int = WORDS, seed: int = SEED)
     out = np.zeros(len(texts), dtype=np.uint64)
     weight = np.left_shift(np.uint64(1), np.arange(BITS, dtype=np.uint64))
     for i, t in enumerate(texts):
-        h = shingle_hashes(t.encode(), words, seed) if t else []
-        if h:
-            counts = np.zeros(BITS, dtype=np.int64)
-            for a in range(0, len(h), 1 << 16):
-                part = np.array(h[a : a + (1 << 16)], dtype="<u8")
-                counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i] = weight[counts * 2 > len(h)].sum(dtype=np.uint64)
+        counts, n = np.zeros(BITS, dtype=np.int64), 0
+        for h in shingle_hashes(t.encode(), words, seed) if t else ():
+            counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            n += len(h)
+        if n:
+            out[i] = weight[counts * 2 > n].sum(dtype=np.uint64)
     return out
 
 
@@ -62,7 +75,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=[*keep, "_fp"])
 
     src = docs.select(*(docs[k].alias(f"_k{i}") for i, k in enumerate(keep)), docs[text].alias("_text"))
-    return src.mapInArrow(run, ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + ", _fp long")
+    return map_arrow(src, run, ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + ", _fp long")
 
 
 def chain_masks(distance: int, segments: int, chain: int) -> list[tuple[int, int]]:
@@ -156,7 +169,7 @@ def links(nodes: DataFrame, distance: int = 4, segments: int = 5, chain: int = 2
     pairs = shared.withColumn("own", own).withColumn("blocks", blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
     ready = pairs.repartition("mask", "bits", "x", "y").sortWithinPartitions("mask", "bits", "x", "y")
-    return ready.select("key", "bits", (F.col("mask") * (1 << 31) + F.col("x")).alias("x"), "y", "node", "_fp").mapInArrow(_linked(distance, segments), "a long, b long")
+    return map_arrow(ready.select("key", "bits", (F.col("mask") * (1 << 31) + F.col("x")).alias("x"), "y", "node", "_fp"), _linked(distance, segments), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, segments: int = 5, chain: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:

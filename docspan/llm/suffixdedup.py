@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import cut, fresh_name, small_batches
+from docspan.llm.common import cut, fresh_name, map_arrow, small_batches
 
 LENGTH, GRAM = 200, 64
 LEFT = LENGTH - GRAM
@@ -222,7 +222,7 @@ def intervals(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), *(pa.array([o[k] for o in own], pa.int64()) for k in (0, 1))], names=["gram", "n", "hi", "lo"])
 
     # the leading bytes of one gram are the same in all its rows
-    counts = texts.mapInArrow(count, "gram long, n long, hi long, lo long").groupBy("gram").agg(F.sum("n").alias("n"), F.min("hi").alias("hi"), F.min("lo").alias("lo")).where("n > 1")
+    counts = map_arrow(texts, count, "gram long, n long, hi long, lo long").groupBy("gram").agg(F.sum("n").alias("n"), F.min("hi").alias("hi"), F.min("lo").alias("lo")).where("n > 1")
     counts = cut(counts)
     size = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("m")).first()
     buckets = max(16, min(SPLITTERS, size.m // 4000))
@@ -263,10 +263,10 @@ def intervals(docs: DataFrame, text: str = "text") -> DataFrame:
         return run
 
     owners = "owners array<struct<key:binary,at:long>>"
-    rare = texts.mapInArrow(scan(False), f"bucket long, gram long, anchor long, context binary, {owners}")
-    out = rare.repartition("bucket").sortWithinPartitions("bucket", "gram").mapInArrow(_sorted_buckets, "key binary, begin long, end long")
+    rare = map_arrow(texts, scan(False), f"bucket long, gram long, anchor long, context binary, {owners}")
+    out = map_arrow(rare.repartition("bucket").sortWithinPartitions("bucket", "gram"), _sorted_buckets, "key binary, begin long, end long")
     if counts.where(F.col("n") > FREQUENT).limit(1).count():
-        windows = texts.mapInArrow(scan(True), f"window binary, {owners}")
+        windows = map_arrow(texts, scan(True), f"window binary, {owners}")
         twice = windows.groupBy("window").agg(F.sum(F.size("owners")).alias("n")).where("n > 1").select("window")
         hit = windows.join(twice, "window").select(F.explode("owners").alias("o"))
         spans = hit.select("o.key", F.col("o.at").alias("begin"), (F.col("o.at") + LENGTH).alias("end"))
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     names = docs.columns
     add = [fresh_name(x, names) for x in ("_n_bytes", "_removed", "_kept")]
-    spans = intervals(docs, text).mapInArrow(_unions, "key binary, begin long, end long")
+    spans = map_arrow(intervals(docs, text), _unions, "key binary, begin long, end long")
     own, other, found = (fresh_name(x, names) for x in ("_text_key", "_key", "_spans"))
     spans = spans.groupBy(F.col("key").alias(other)).agg(F.collect_set(F.struct("begin", "end")).alias(found))
     keyed = docs.withColumn(own, F.unhex(F.md5(F.col(text).cast("binary"))))
@@ -326,4 +326,4 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())], names=[*names, *add])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{kinds}, `{add[0]}` long, `{add[1]}` array<struct<begin:long,end:long>>, `{add[2]}` binary")
+    return map_arrow(joined, run, f"{kinds}, `{add[0]}` long, `{add[1]}` array<struct<begin:long,end:long>>, `{add[2]}` binary")

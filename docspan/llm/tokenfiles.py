@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspan.llm.bpe import WORD_PATTERN, Encoder
-from docspan.llm.common import cut, small_batches
+from docspan.llm.common import cut, map_arrow, small_batches
 
 #: Bytes that a task searches at once.
 BLOCK_BYTES = 4 << 20
@@ -39,14 +39,14 @@ def write_tokens(docs: DataFrame, folder: str, ranks_path: str, separator: int,
         where.create_dir(root, recursive=True)
         encoder, n = Encoder(ranks_path, pattern), 0
         with where.open_output_stream(draft) as out:
-            for batch in small_batches(batches, 1, 10 << 20):
+            for batch in small_batches(batches, 1):
                 for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
                     out.write(np.append(ids, separator).astype(f"<u{width}").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows), pa.array(np.arange(n, n + batch.num_rows)), batch.column(0)], names=["file", "ordinal", "id"])
                 n += batch.num_rows
         where.move(draft, f"{root}/{name}")
 
-    return cut(docs.select(F.col(id).alias("id"), F.col(text).alias("_text")).mapInArrow(run, f"file string, ordinal long, id {kind}"))
+    return cut(map_arrow(docs.select(F.col(id).alias("id"), F.col(text).alias("_text")), run, f"file string, ordinal long, id {kind}"))
 
 
 def count_tokens(spark: SparkSession, folder: str, separator: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -76,7 +76,7 @@ def count_tokens(spark: SparkSession, folder: str, separator: int, width: int =
 
     blocks = spark.createDataFrame(files, "file string, size long").where("size > 0").select("file", "size", F.explode(F.expr(f"sequence(0L, (size - 1) div {block_bytes}L)")).alias("block"))
     slots = max(1, min(10_000, sum(-(-n // block_bytes) for _, n in files)))
-    summaries = blocks.select("file", "block", "size").repartition(slots, "file", "block").mapInArrow(search, "file string, block long, n long, head long, tail long, inner array<long>")
+    summaries = map_arrow(blocks.select("file", "block", "size").repartition(slots, "file", "block"), search, "file string, block long, n long, head long, tail long, inner array<long>")
     summaries = cut(summaries)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scan = summaries.select("file", "block", "n", "tail").withColumn("ordinal", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("tails", F.coalesce(F.sum("tail").over(before), F.lit(0)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import fresh_name, small_batches, split_ranges
+from docspan.llm.common import fresh_name, map_arrow, small_batches, split_ranges
 from docspan.llm.decontaminate import words_of
 
 WINDOW, STRIDE = 24, 12
@@ -200,7 +200,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     words = [w for w in words if w]
     if not len(y) or y.min() == y.max():
         return None
-    seen = Counter(w for ws in words for w in set(ws))
+    seen = Counter(w for ws in words for w in dict.fromkeys(ws))
     vocabulary = {w: i for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= 5}
     net = Network(vocabulary, seed)
     rng = np.random.default_rng(seed)
@@ -297,7 +297,7 @@ def score(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, names.index(text), 8 << 20):
+        for batch in small_batches(batches, names.index(text)):
             x = np.zeros(batch.num_rows)
             if sent.value is not None:
                 x = 1 / (1 + np.exp(-np.clip(sent.value.logits(batch.column(names.index(text)).to_pylist()), -700, 700)))
@@ -305,4 +305,4 @@ def score(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=[*names, add])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, `{add}` double")
+    return map_arrow(docs, run, f"{kinds}, `{add}` double")
