@@ -1,10 +1,11 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact Jaccard verification, distributed union-find.
 
-1. Tasks split texts into lines and emit, for each distinct line, its band keys; lines travel as 64-bit hashes.
+1. Tasks split texts into lines and emit, for each distinct line, its band keys; lines travel as 64-bit hashes. Lines of a
+   task that share a key are linked there, so that a key goes on once for each task; keys travel packed, by ranges.
 2. Lines that share a band key are linked to the first of them; union-find makes candidate groups, which hold every pair
    that shares a key.
 3. The text of each candidate line is sent once, to its group (large groups are dealt out as pairs of blocks). There the
-   exact Jaccard similarity decides: a line is compared with a pivot, and again with any line that is not yet connected.
+   exact Jaccard similarity decides for pairs that share a key, unless they are connected already.
 4. Union-find over the verified links; of each component, and of each repeated line, the first occurrence stays.
 """
 
@@ -19,18 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import components, cut, fresh_name, small_batches, split_ranges
+from docspan.llm.common import components, cut, fresh_name, local_forest, map_arrow, small_batches, split_ranges
 
 #: Characters in a shingle; bands and rows of the signature; the least Jaccard similarity of a link.
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
-#: Lines of a candidate group that are verified together; larger groups are dealt out as pairs of blocks.
-BLOCK = 1000
-#: Bytes of text that a task works on at once, and lines that it remembers having sent.
-CHUNK, SEEN = 1 << 20, 300_000
-#: Groups of no more lines are verified pair by pair, whatever keys they share.
-SMALL = 24
-#: Bits of the filter of candidate lines: a fixed 8 MB, whatever the corpus.
-FILTER_BITS = 1 << 26
+#: Lines of a candidate group, and bytes of their text, that are verified together; larger groups are dealt out as pairs of blocks.
+BLOCK, BLOCK_BYTES = 1000, 1 << 20
+#: Bytes of text that a task works on at once, lines that it remembers having sent, and keys that it packs at once.
+CHUNK, SEEN, PACKED = 1 << 20, 300_000, 1 << 20
+#: Bits of the filter of candidate lines, by their number; beyond the most there is no filter, and a join alone finds them.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _RNG = np.random.default_rng(20)
 MULTIPLY = (_RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -66,7 +65,7 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """(line, band) keys as signed 64-bit numbers."""
+    """(line, band) keys as unsigned 64-bit numbers."""
     h, count = shingles(lines)
     # the high half of another mix, as the permutations are linear
     x = ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
@@ -84,7 +83,8 @@ def band_keys(lines: list[str]) -> np.ndarray:
     for r in range(ROWS):
         keys = (keys ^ sign[:, r::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return (keys * np.uint64(2 * BANDS + 1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    keys = keys * np.uint64(2 * BANDS + 1) + np.arange(BANDS, dtype=np.uint64)
+    return keys ^ (keys >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -92,89 +92,147 @@ def lines_of(text: str | None) -> list[str]:
     return [x for x in (text or "").split(LINE_END) if x.strip()]
 
 
-def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for batch in small_batches(batches, 0, CHUNK):
-        own: dict[int, str] = {}
-        for line in {x for t in batch.column(0).to_pylist() for x in lines_of(t)}:
-            own[line_id(line)] = line
-        ids = [i for i in own if i not in seen]
-        seen.update(ids)
-        if len(seen) > SEEN:
-            seen.clear()
-        if ids:
-            keys = band_keys([own[i] for i in ids])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(ids, dtype=np.int64), BANDS))], names=["key", "line"])
+def _first_links(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For keys (unsigned) in order with their lines: where each key begins, and links (a, b) from its other lines to its first."""
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    first = np.repeat(line[begins], np.diff(np.append(begins, len(key))))
+    other = line != first
+    return begins, line[other], first[other]
+
+
+def _emit_keys(buckets: int):
+    """(bucket, keys, links): packed (key, line) pairs of a range of keys, one line for each key, and links within the task."""
+
+    def packed(keys: list[np.ndarray], lines: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, line = np.concatenate(keys), np.concatenate(lines)
+        order = np.lexsort((line, key))
+        key, line = key[order], line[order]
+        begins, a, b = _first_links(key, line)
+        key, line = key[begins], line[begins]
+        cuts = np.searchsorted((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        both = np.stack([key, line.view(np.uint64)], axis=1)
+        at = np.flatnonzero(cuts[1:] > cuts[:-1])
+        blobs = [both[cuts[i] : cuts[i + 1]].tobytes() for i in at]
+        links = [b""] * len(at)
+        if len(a):
+            node, root = local_forest(a, b)
+            own = node != root
+            links[int(key[0] % np.uint64(len(at)))] = np.stack([node[own], root[own]], axis=1).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary()), pa.array(links, pa.binary())], names=["bucket", "keys", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        keys, lines, held = [], [], 0
+        for batch in small_batches(batches, 0, CHUNK):
+            own: dict[int, str] = {}
+            for line in {x for t in batch.column(0).to_pylist() for x in lines_of(t)}:
+                own[line_id(line)] = line
+            ids = [i for i in own if i not in seen]
+            seen.update(ids)
+            if len(seen) > SEEN:
+                seen.clear()
+            if ids:
+                keys.append(band_keys([own[i] for i in ids]).ravel())
+                lines.append(np.repeat(np.array(ids, dtype=np.int64), BANDS))
+                held += len(lines[-1])
+            if held > PACKED:
+                yield from packed(keys, lines)
+                keys, lines, held = [], [], 0
+        if held:
+            yield from packed(keys, lines)
+
+    return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (key, line) rows in order: links from each line of a key to the first one."""
-    last_key = last_line = None
+    """Over (bucket, keys, links) rows in order of buckets: links from each line of a key to the first one, and those that came."""
+
+    def stars(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        both = np.frombuffer(b"".join(held), dtype=np.uint64).reshape(-1, 2)
+        order = np.lexsort((both[:, 1].view(np.int64), both[:, 0]))
+        _, a, b = _first_links(both[order, 0], both[order, 1].view(np.int64))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held: list[bytes] = []
+    last = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, line = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.append(last_key is None or key[0] != last_key, key[1:] != key[:-1])
-        at = np.flatnonzero(new)
-        first = np.where(np.arange(len(key)) < (at[0] if len(at) else len(key)), last_line if last_line is not None else 0, 0)
-        if len(at):
-            first[at[0] :] = np.repeat(line[at], np.diff(np.append(at, len(key))))
-        last_key, last_line = key[-1], first[-1]
-        hit = line != first
-        if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(line[hit]), pa.array(first[hit])], names=["a", "b"])
-
-
-def jaccard(one: np.ndarray, many: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Similarities of a sorted set with sets that stand one after another."""
-    at = np.minimum(np.searchsorted(one, many), len(one) - 1)
-    both = np.add.reduceat((one[at] == many).astype(np.int64), starts)
-    return both / (len(one) + counts - both)
-
-
-def verified(lines: list[str], ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) that connect all the lines whose similarity is SIMILARITY or more, directly or through others."""
-    size = np.array([len(s) for s in sets])
-    keys = band_keys(lines) if len(lines) > SMALL else None
-    root = np.arange(len(lines))
+        for bucket, keys, links in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if bucket != last and held:
+                yield from stars(held)
+                held = []
+            last = bucket
+            held.append(keys)
+            if links:
+                pairs = np.frombuffer(links, dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    if held:
+        yield from stars(held)
+
+
+def verified(group: np.ndarray, lines: list[str], ids: np.ndarray, pairs_only: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect, within each group, all the lines that share a key and whose similarity is SIMILARITY or more.
+
+    group: numbers in order. pairs_only: whether the line's group is a whole candidate group of two, which share a key.
+    In round r the r-th line of every group, the longest first, is compared with the later ones that it isn't connected with.
+    """
+    n = len(lines)
+    h, count = shingles(lines)
+    # each line's set, in order; a code is the line's number and the high 44 bits of the shingle's hash, mixed
+    codes = np.unique(np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(44), count) | h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20))
+    size = np.bincount((codes >> np.uint64(44)).astype(np.int64), minlength=n)
+    start = np.cumsum(size) - size
+    keys = np.zeros((n, BANDS), dtype=np.uint64)
+    if (some := np.flatnonzero(~pairs_only)).size:
+        keys[some] = band_keys([lines[i] for i in some])
+    order = np.lexsort((ids, -size, group))
+    begins = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+    sizes = np.diff(np.append(begins, n))
+    root = np.arange(n)
     left, right = [], []
-    for i in np.lexsort((ids, -size)):
-        # candidates of i (not too short or long, with a key in common) that it is not connected with
-        rest = np.flatnonzero((root != root[i]) & (size >= SIMILARITY * size[i]) & (size * SIMILARITY <= size[i]))
-        if keys is not None:
-            rest = rest[(keys[rest] == keys[i]).any(axis=1)]
-        if not len(rest):
-            continue
-        counts = size[rest]
-        hit = rest[jaccard(sets[i], np.concatenate([sets[k] for k in rest]), np.cumsum(counts) - counts, counts) >= SIMILARITY]
-        for k in hit.tolist():
-            if root[k] != root[i]:
-                left.append(i)
-                right.append(k)
-                root[root == root[k]] = root[i]
-    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+    turn = 0
+    while True:
+        open_ = sizes > turn + 1
+        begins, sizes = begins[open_], sizes[open_]
+        if not len(begins):
+            break
+        rest = sizes - turn - 1
+        a, b = np.repeat(order[begins + turn], rest), order[split_ranges(begins + turn + 1, rest)]
+        near = (root[a] != root[b]) & (size[b] >= SIMILARITY * size[a])
+        a, b = a[near], b[near]
+        near = pairs_only[a] | (keys[a] == keys[b]).any(axis=1)
+        a, b = a[near], b[near]
+        turn += 1
+        for k in range(0, len(a), 4096):
+            x, y = a[k : k + 4096], b[k : k + 4096]
+            ask = codes[split_ranges(start[y], size[y])] & np.uint64((1 << 44) - 1) | np.repeat(x.astype(np.uint64) << np.uint64(44), size[y])
+            both = np.add.reduceat((codes[np.minimum(np.searchsorted(codes, ask), len(codes) - 1)] == ask).astype(np.int64), np.cumsum(size[y]) - size[y])
+            hit = both / (size[x] + size[y] - both) >= SIMILARITY
+            if hit.any():
+                x, y = x[hit], y[hit]
+                left.append(x)
+                right.append(y)
+                to = np.arange(n)
+                to[root[y]] = root[x]  # all the lines that a pivot meets go to its component
+                root = to[root]
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (component, x, y, line, words) rows with equal ones of the first three together: the verified links."""
+    """Over (component, x, y, line, words) rows with equal ones of the first three together (x, y: blocks; -1: a whole group): the verified links."""
 
     def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         ids, texts = t.column("line").to_numpy(), t.column("words").to_pylist()
         parts = [t.column(c).to_numpy() for c in ("component", "x", "y")]
-        cuts = np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
-        h, count = shingles(texts)
-        sets = [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
-        left, right = [], []
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-            _, once = np.unique(ids[lo:hi], return_index=True)
-            once += lo
-            if len(once) > 1:
-                i, j = verified([texts[k] for k in once], ids[once], [sets[k] for k in once])
-                left.append(ids[once[i]])
-                right.append(ids[once[j]])
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+        group = np.append(0, np.cumsum(np.any([p[1:] != p[:-1] for p in parts], axis=0)))
+        once = np.sort(np.unique(np.stack([group, ids], axis=1), axis=0, return_index=True)[1])
+        group, ids = group[once], ids[once]
+        two = (parts[1][once] < 0) & (np.bincount(group)[group] == 2)
+        i, j = verified(group, [texts[k] for k in once], ids, two)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
     size, key = 0, None
@@ -206,19 +264,11 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, component): lines (by hash) that are near-duplicates of another, and the least hash of their component."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("_t"))
-    keys = texts.mapInArrow(_emit_keys, "key long, line long")
-    pairs = keys.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_stars, "a long, b long")
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = map_arrow(texts, _emit_keys(buckets), "bucket int, keys binary, links binary")
+    pairs = map_arrow(keys.repartition("bucket").sortWithinPartitions("bucket"), _stars, "a long, b long")
     groups = cut(components(pairs))
-    # candidates as bits of a filter of fixed size; it lets other lines through, but no candidate is lost
-    place = F.pmod("node", F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in groups.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).toLocalIterator():
-        part = np.frombuffer(r.m, dtype=np.uint8)
-        if r.b < 1:  # the bucket of the value 0, which has_bit() lets through
-            continue
-        start = (r.b - 1) * 4096
-        bits[start : start + len(part)] = part[: len(bits) - start]
-    sent = spark.sparkContext.broadcast(bits)
+    sent = spark.sparkContext.broadcast(line_filter(groups, "node"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -234,25 +284,39 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
             seen.update(ids[hit].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([lines[i] for i in hit], pa.string())], names=["line", "words"])
 
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    rows = texts.mapInArrow(candidates, "line long, words string").dropDuplicates(["line"]).join(members, F.col("line") == F.col("node"))
-    ready = rows.select("component", "x", "y", "line", "words").repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
-    return components(ready.mapInArrow(_verify, "a long, b long"))
+    rows = map_arrow(texts, candidates, "line long, words string").dropDuplicates(["line"])
+    rows = cut(rows.join(groups, F.col("line") == F.col("node")).select("component", "line", "words"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("words")) / BLOCK_BYTES)).cast("int")
+    rows = rows.join(cut(rows.groupBy("component").agg(blocks.alias("blocks"))), "component")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("line"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = lambda c: F.when(F.col("blocks") == 1, -1).otherwise(c)
+    rows = rows.select("component", whole(F.least("own", "other")).alias("x"), whole(F.greatest("own", "other")).alias("y"), "line", "words")
+    ready = rows.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    return components(map_arrow(ready, _verify, "a long, b long"))
+
+
+def line_filter(lines: DataFrame, column: str) -> np.ndarray | None:
+    """A bit for each line (by its hash), 16 times as many as lines; None if that is more than MOST_BITS."""
+    n = lines.count()
+    if n * 16 > MOST_BITS:
+        return None
+    size = max(LEAST_BITS, 1 << (n * 16).bit_length())
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    place = F.pmod(column, F.lit(size))
+    found = lines.select(F.floor(place / 32768).cast("long").alias("b"), F.pmod(place, F.lit(32768)).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+    for r in found.toLocalIterator():
+        part = np.frombuffer(r.m, dtype=np.uint8)
+        bits[r.b * 4096 : r.b * 4096 + len(part)] = part
+    return bits
 
 
-def has_bit(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether bitmap_construct_agg has set the bits of these ids (numpy's % is never negative here, like pmod)."""
-    p = ids % FILTER_BITS
-    # Spark's buckets: 1 + (p - 1) / 32768 for p > 0, else 0; position within: (p - 1) % 32768, or -p
-    bucket = np.where(p > 0, (p - 1) // 32768, -1)
-    within = np.where(p > 0, (p - 1) % 32768, 0)
-    at = bucket * 32768 + within
-    found = (bits[np.maximum(at, 0) >> 3] >> (np.maximum(at, 0) & 7)) & 1
-    return (found == 1) | (p == 0)
+def has_bit(bits: np.ndarray | None, ids: np.ndarray) -> np.ndarray:
+    """Whether the filter lets these ids through (numpy's % is never negative here, like pmod)."""
+    if bits is None:
+        return np.ones(len(ids), dtype=bool)
+    p = ids % (8 * len(bits))
+    return ((bits[p >> 3] >> (p & 7)) & 1).astype(bool)
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,10 +338,11 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 
     kind = docs.schema[id].dataType.simpleString()
     found = similar_lines(docs, text)
-    spots = docs.select(F.col(id).alias("id"), F.col(text).alias("_t")).where("id is not null").mapInArrow(places, f"id {kind}, line long, at long")
-    spots = spots.join(found, F.col("line") == F.col("node"), "left").select("id", "at", F.coalesce("component", "line").alias("part"))
+    spots = map_arrow(docs.select(F.col(id).alias("id"), F.col(text).alias("_t")).where("id is not null"), places, f"id {kind}, line long, at long")
+    # written, as are the first ones: both sides of these joins are then plain shuffles, whose hot keys Spark can split
+    spots = cut(spots.join(found, F.col("line") == F.col("node"), "left").select("id", "at", F.coalesce("component", "line").alias("part")))
     first = spots.groupBy("part").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = spots.join(first, "part").where(F.struct("id", "at") != F.col("first"))
+    gone = spots.join(cut(first), "part").where(F.struct("id", "at") != F.col("first"))
     return gone.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 
 
