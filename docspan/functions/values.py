@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column
@@ -64,6 +66,41 @@ def kind_of(value: Any) -> str:
     return "string" if isinstance(value, str) else "array" if isinstance(value, list) else "object"
 
 
+def let(column: Column, use: Callable[[Column], Column]) -> Column:
+    """use(column), with column evaluated once a row, however often use mentions it (predicate pushdown copies projections)."""
+    return F.get(F.transform(F.array(column), use), F.lit(0))
+
+
+#: Texts that are read as points in time.
+_TIME = re.compile(r"\s*(\d{4})(?:-(\d{1,2})(?:-(\d{1,2})(?:[T ](\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{1,2}(?::?\d{2})?)?)?)?)?\s*")
+
+
+def is_time_text(text: str) -> bool:
+    m = _TIME.fullmatch(text)
+    try:
+        return m is not None and datetime(*(int(x or d) for x, d in zip(m.groups(), (1, 1, 1, 0, 0, 0), strict=True))) is not None
+    except ValueError:
+        return False
+
+
+def by_parts(op: str, literal: Any, kind: Column, number: Column, text: Column) -> Column | None:
+    """A value op a scalar literal, by the value's kind, number and text; None for other literals.
+
+    Comparisons of number and text stand by themselves, so that Parquet readers can evaluate them if they are columns. Values
+    of kinds that don't compare otherwise are in the order of their kinds.
+    """
+    if isinstance(literal, (list, dict)):
+        return None
+    own, x = kind_of(literal), number_of(literal)
+    hits = [k for k, r in RANK.items() if k != own and holds(op, (r > RANK[own]) - (r < RANK[own]))]
+    if own not in ("string", "number") and holds(op, 0):
+        hits.append(own)
+    rest = kind.isin(hits) if hits else F.lit(False)
+    if isinstance(literal, str):
+        rest = apply(op, text, F.lit(literal)) | (text.isNull() & rest)
+    return apply(op, number, F.lit(float(x))) | (number.isNull() & rest) if x is not None else rest
+
+
 def text_number(text: Column) -> Column:
     """The number of a numeric text, or NULL."""
     ok = text.rlike(NUMERIC_TEXT) & text.rlike(r"^\s*[+-]?\.?\d")
@@ -94,6 +131,10 @@ def holds(op: str, sign: int) -> bool:
 class Value:
     column: Column | None
     type: T.DataType | None
+    #: Of a VARIANT: its schema_of_variant, if that has been evaluated.
+    schema: Column | None = None
+    #: Of a VARIANT: stored columns with its kind, number and text, if there are any.
+    parts: tuple[Column, Column, Column] | None = None
 
     # what it is
 
@@ -140,13 +181,26 @@ class Value:
 
     # its parts
 
+    def once(self, use: Callable[[Value], Column]) -> Column:
+        """use(value), with a VARIANT's path and schema evaluated once a row."""
+        if not self.is_variant or self.schema is not None or self.parts is not None:
+            return use(self)
+        return let(self.column, lambda v: let(F.schema_of_variant(v), lambda s: use(Value(v, self.type, s))))
+
+    def _schema(self) -> Column:
+        return F.schema_of_variant(self.column) if self.schema is None else self.schema
+
     def kind(self) -> Column:
         """string, number, array, object, true, false or null; NULL if missing."""
         if self.missing:
             return F.lit(None).cast("string")
+        if self.parts is not None:
+            return self.parts[0]
         c = self.column
         if self.is_variant:
-            s = F.schema_of_variant(c)
+            if self.schema is None:
+                return self.once(Value.kind)
+            s = self.schema
             yes = F.try_variant_get(c, "$", "boolean")
             return (
                 F.when(c.isNull(), F.lit(None))
@@ -167,8 +221,10 @@ class Value:
         """The text of a string, NULL for other kinds."""
         if self.missing:
             return F.lit(None).cast("string")
+        if self.parts is not None:
+            return self.parts[2]
         if self.is_variant:
-            return F.when(F.schema_of_variant(self.column) == "STRING", F.try_variant_get(self.column, "$", "string"))
+            return F.when(self._schema() == "STRING", F.try_variant_get(self.column, "$", "string"))
         if self.is_time:
             return F.date_format(self.column, "yyyy-MM-dd'T'HH:mm:ss")
         return self.column.cast("string") if not self.is_number and not self.is_nested and not isinstance(self.type, T.BooleanType) else F.lit(None).cast("string")
@@ -181,8 +237,13 @@ class Value:
             return self.column.cast("double")
         if self.is_text:
             return text_number(self.column)
+        if self.parts is not None:
+            return self.parts[1]
         if self.is_variant:
-            return F.when(self.kind() == "number", F.try_variant_get(self.column, "$", "double")).when(F.schema_of_variant(self.column) == "STRING", text_number(F.try_variant_get(self.column, "$", "string")))
+            if self.schema is None:
+                return self.once(Value.number)
+            own = self.schema.isin("BIGINT", "DOUBLE", "FLOAT") | self.schema.startswith("DECIMAL")
+            return F.when(own, F.try_variant_get(self.column, "$", "double")).when(self.schema == "STRING", let(F.try_variant_get(self.column, "$", "string"), text_number))
         return F.lit(None).cast("double")
 
     def raw(self) -> Column:
@@ -190,8 +251,9 @@ class Value:
         if self.missing:
             return F.lit(None).cast("string")
         if self.is_variant:
-            s = F.schema_of_variant(self.column)
-            return F.when(s == "DOUBLE", whole_as_long(F.try_variant_get(self.column, "$", "double"))).otherwise(F.to_json(self.column))
+            if self.schema is None and self.parts is None:
+                return self.once(Value.raw)
+            return F.when(self._schema() == "DOUBLE", let(F.try_variant_get(self.column, "$", "double"), whole_as_long)).otherwise(F.to_json(self.column))
         if isinstance(self.type, (T.DoubleType, T.FloatType)):
             return whole_as_long(self.column.cast("double"))
         if self.is_number or isinstance(self.type, T.BooleanType):
@@ -205,7 +267,7 @@ class Value:
         if self.missing:
             return F.lit(None).cast("string")
         if self.is_variant:
-            return F.coalesce(self.text(), self.raw())
+            return self.once(lambda v: F.coalesce(v.text(), v.raw()))
         return self.raw() if self.is_nested else self.text() if self.is_time else self.column.cast("string")
 
     def variant(self) -> Column:
@@ -215,7 +277,7 @@ class Value:
         return self.column if self.is_variant else F.parse_json(self.raw())
 
     def present(self) -> Column:
-        return F.lit(False) if self.missing else self.column.isNotNull()
+        return F.lit(False) if self.missing else (self.column if self.parts is None else self.parts[0]).isNotNull()
 
     def equality_key(self) -> Column:
         """A text that is the same for exactly the values that are equal; NULL if missing."""
@@ -225,8 +287,7 @@ class Value:
         if self.is_number:
             return n(self.column.cast("double"))
         if self.is_text or self.is_variant:
-            number = self.number()
-            return F.when(number.isNotNull(), n(number)).otherwise(self.raw())
+            return self.once(lambda v: let(v.number(), lambda x: F.when(x.isNotNull(), n(x)).otherwise(v.raw())))
         return self.raw()
 
     def sort_keys(self, ascending: bool = True, strict: bool = False) -> list[Column]:
@@ -242,11 +303,13 @@ class Value:
         if strict:
             return [self.raw()]
         if self.is_variant:
-            kind = self.kind()
-            rank = F.when(self.number().isNotNull(), 1)
-            for name, r in RANK.items():
-                rank = rank.when(kind == name, r)
-            return [rank, self.number(), F.coalesce(self.text(), self.raw())]
+            def rank(v: Value) -> Column:
+                case = F.when(v.number().isNotNull(), 1)
+                for name, r in RANK.items():
+                    case = case.when(v.kind() == name, r)
+                return case
+
+            return [self.once(rank), self.number(), self.plain()]
         return [self.raw()] if isinstance(self.type, (T.MapType, T.StructType)) else [self.column]
 
     # comparison
@@ -256,7 +319,7 @@ class Value:
         if self.missing:
             return F.lit(False)
         if self.is_variant:
-            return self._compare_variant(op, literal)
+            return self.once(lambda v: v._compare_variant(op, literal))
         number = number_of(literal)
         if self.is_number and number is not None:
             return self._compare_number(op, number)
@@ -269,6 +332,8 @@ class Value:
         if isinstance(self.type, T.BooleanType) and isinstance(literal, bool):
             return apply(op, self.column, F.lit(literal))
         if self.is_time and isinstance(literal, str):
+            if not is_time_text(literal):
+                return apply(op, self.text(), F.lit(literal))
             return apply(op, self.column, F.try_to_timestamp(F.lit(literal)).cast(self.type))
         if self.is_nested and isinstance(literal, (list, dict)):
             return apply(op, self.raw(), F.lit(canonical(literal)))
@@ -296,14 +361,11 @@ class Value:
         return self.column > F.lit(math.floor(number)).cast(self.type) if op in ("$gt", "$gte") else self.column < F.lit(math.ceil(number)).cast(self.type)
 
     def _compare_variant(self, op: str, literal: Any) -> Column:
-        number, kind = number_of(literal), self.kind()
-        by_text = apply(op, self.raw(), F.lit(canonical(literal)))
-        case = F.when(self.column.isNull(), F.lit(None).cast("boolean"))
-        if number is not None:
-            case = case.when(self.number().isNotNull(), apply(op, self.number(), F.lit(float(number))))
-        if isinstance(literal, str):
-            case = case.when(kind == "string", apply(op, self.text(), F.lit(literal)))
-        return case.otherwise(by_text)
+        if self.parts is not None:
+            hit = by_parts(op, literal, *self.parts)
+        else:
+            hit = let(self.number(), lambda n: by_parts(op, literal, self.kind(), n, self.text())) if not isinstance(literal, (list, dict)) else None
+        return apply(op, self.raw(), F.lit(canonical(literal))) if hit is None else hit
 
 
 MISSING = Value(None, None)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspan.functions.values import Value, number_of
+from docspan.functions.values import Value, canonical, number_of
 from docspan.plans.syntax import All, Any_, Compare, Exists, Filter, In, Regex, StartsWith
 from docspan.relation import Relation
 
@@ -33,7 +33,7 @@ def condition(rel: Relation, f: Filter) -> Column:
         return _text(v).startswith(f.prefix)
     if isinstance(f, In):
         hit = _in(rel, v, f)
-        return (~hit | ~v.present()) if f.negated else hit
+        return ~F.coalesce(hit, F.lit(False)) if f.negated else hit
     return _compare(rel, v, f)
 
 
@@ -57,19 +57,30 @@ def _compare(rel: Relation, v: Value, f: Compare) -> Column:
         return hit | ~v.present() if f.op == "$ne" and not rel.null_is_value else hit
     if f.path == "_id" and v.is_number and isinstance(f.value, str) and number_of(f.value) is None:
         return F.lit(f.op == "$ne")
+    if (exact := _identity(rel, f.path, f.value)) is not None and f.op in ("$eq", "$ne"):
+        return exact if f.op == "$eq" else ~F.coalesce(exact, F.lit(False))
     hit = v.compare(f.op, f.value)
     return hit | ~v.present() if f.op == "$ne" else hit
 
 
+def _identity(rel: Relation, path: str, x) -> Column | None:
+    """The _id of a document is a text, and equal to the same text only; a reader can look it up."""
+    if not rel.document or path != "_id" or rel.id is None:
+        return None
+    return rel.id == F.lit(x if isinstance(x, str) else canonical(x))
+
+
 def _in(rel: Relation, v: Value, f: In) -> Column:
     if v.missing or not f.values:
         return F.lit(False)
+    if _identity(rel, f.path, "") is not None:
+        return rel.id.isin([x if isinstance(x, str) else canonical(x) for x in f.values])
     plain = [x for x in f.values if not isinstance(x, bool)]
     if v.is_number and len(plain) == len(f.values) and all(isinstance(number_of(x), int) and abs(number_of(x)) < 2**31 for x in f.values):
         return v.column.isin([number_of(x) for x in f.values])
     if v.is_text and all(isinstance(x, str) and number_of(x) is None for x in f.values):
         return v.column.isin(list(f.values))
-    return reduce(lambda a, b: a | b, (_null(rel, v, "$eq") if x is None and not v.is_variant else v.compare("$eq", x) for x in f.values))
+    return v.once(lambda v: reduce(lambda a, b: a | b, (_null(rel, v, "$eq") if x is None and not v.is_variant else v.compare("$eq", x) for x in f.values)))
 
 
 def where(rel: Relation, f: Filter) -> Relation:

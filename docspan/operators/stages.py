@@ -24,7 +24,7 @@ def sort(rel: Relation, keys: tuple[tuple[str, bool], ...], strict: bool = False
     if not order:
         return rel
     by = [(c.asc_nulls_first() if up else c.desc_nulls_last()) for c, up in order]
-    return rel.with_df(rel.df.orderBy(*by), order=order)
+    return rel.with_df(rel.df.orderBy(*by), order=order, ordered=True)
 
 
 def skip(rel: Relation, n: int) -> Relation:
@@ -38,7 +38,9 @@ def limit(rel: Relation, n: int) -> Relation:
 
 def naturally(rel: Relation) -> Relation:
     """In the relation's own order, which limits without a sort refer to."""
-    return rel.with_df(rel.df.orderBy(*(c.asc_nulls_first() if up else c.desc_nulls_last() for c, up in rel.order))) if rel.order else rel
+    if not rel.order or rel.ordered:
+        return rel
+    return rel.with_df(rel.df.orderBy(*(c.asc_nulls_first() if up else c.desc_nulls_last() for c, up in rel.order)), ordered=True)
 
 
 def project(rel: Relation, paths: tuple[str, ...]) -> Relation:
@@ -63,7 +65,7 @@ def project(rel: Relation, paths: tuple[str, ...]) -> Relation:
         order.append((F.col(name), up))
         hidden.add(name)
     df = rel.df.select(*columns)
-    return Relation(df, F.col("_id") if "_id" in names else None, T.StringType() if "_id" in names else None, order=tuple(order), hidden=frozenset(hidden), null_is_value=rel.null_is_value, strict=rel.strict)
+    return Relation(df, F.col("_id") if "_id" in names else None, T.StringType() if "_id" in names else None, order=tuple(order), hidden=frozenset(hidden), ordered=rel.ordered, null_is_value=rel.null_is_value, strict=rel.strict)
 
 
 def count(rel: Relation, name: Any) -> Relation:
@@ -287,7 +289,7 @@ def run_stages(rel: Relation, stages: tuple, collections, cap: int = 0) -> Relat
         elif op in ("$skip", "$limit"):
             if not isinstance(arg, (int, float)) or isinstance(arg, bool):
                 raise QueryError(f"{op} takes a number")
-            rel = (skip if op == "$skip" else limit)(rel, int(arg))
+            rel = (skip if op == "$skip" else limit)(naturally(rel) if rel.document else rel, int(arg))
         elif op == "$count":
             rel = count(rel, arg)
         elif op == "$group":

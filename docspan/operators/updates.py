@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -9,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspan.errors import QueryError, UnsupportedOperator
-from docspan.functions.values import Value, canonical, number_of
+from docspan.functions.values import Value, canonical, is_time_text, kind_of, let, number_of
 from docspan.operators.filters import condition
 from docspan.plans.syntax import UPDATES, Filter
 from docspan.relation import DOC, Relation
 
 MAP = "map<string,variant>"
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _literal(x: Any) -> Column:
@@ -28,26 +30,45 @@ def without(items: Column, x: Any) -> Column:
 
 def _object(v: Column) -> Column:
     """A VARIANT's entries; none if it is no object."""
-    entries = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", MAP))
-    return F.coalesce(entries, F.create_map().cast(MAP))
+    return F.coalesce(_entries(v), F.create_map().cast(MAP))
+
+
+def _entries(v: Column) -> Column:
+    """A VARIANT's entries; NULL if it is no object."""
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", MAP))
+
+
+def _with(m: Column, key: str, value: Column) -> Column:
+    return F.to_variant_object(F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), value)))
 
 
 def set_path(v: Column, path: list[str], value: Column) -> Column:
     """v with the value at the path; objects on the way are made where there are none."""
-    m = _object(v)
-    new = set_path(F.try_element_at(m, F.lit(path[0])), path[1:], value) if len(path) > 1 else value
-    rest = F.map_filter(m, lambda k, _: k != path[0])
-    return F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(path[0]), new)))
+    return change_path(v, path, lambda _: value)
+
+
+def change_path(v: Column, path: list[str], new: Callable[[Column], Column]) -> Column:
+    """v with new(old value) at the path; every object on the way is read once."""
+    key, *rest = path
+
+    def changed(m: Column) -> Column:
+        own = F.try_element_at(m, F.lit(key))
+        return _with(m, key, change_path(own, rest, new) if rest else new(own))
+
+    return let(let(v, _object), changed)
 
 
 def unset_path(v: Column, path: list[str]) -> Column:
-    m = _object(v)
-    rest = F.map_filter(m, lambda k, _: k != path[0])
-    if len(path) == 1:
-        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_variant_object(rest)).otherwise(v)
-    inner = F.try_element_at(m, F.lit(path[0]))
-    changed = F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(path[0]), unset_path(inner, path[1:]))))
-    return F.when(F.schema_of_variant(inner).startswith("OBJECT"), changed).otherwise(v)
+    key, *rest = path
+
+    def changed(v: Column, m: Column) -> Column:
+        if not rest:
+            out = F.to_variant_object(F.map_filter(m, lambda k, _: k != key))
+        else:
+            out = _with(m, key, unset_path(F.try_element_at(m, F.lit(key)), rest))
+        return F.when(m.isNotNull() & F.map_contains_key(m, key), out).otherwise(v)
+
+    return let(v, lambda v: let(_entries(v), lambda m: changed(v, m)))
 
 
 def _whole_number(x: Column) -> Column:
@@ -65,32 +86,43 @@ def _check(op: str, args: Any) -> None:
             raise QueryError("an update can't change _id")
 
 
+def _array(c: Column) -> Column:
+    """A VARIANT's items; NULL if it is no array."""
+    return F.when(F.schema_of_variant(c).startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
+
+
+def _change(op: str, arg: Any) -> Callable[[Column], Column]:
+    """How $set, $inc and $push make a VARIANT's new value from the old one."""
+    if op == "$set":
+        return lambda _: _literal(arg)
+    if op == "$inc":
+        return lambda c: let(Value(c, T.VariantType()).once(lambda v: F.coalesce(F.when(v.kind() == "number", v.number()), F.lit(0.0)) + float(number_of(arg))), _whole_number)
+    return lambda c: F.to_variant_object(F.array_append(F.coalesce(let(c, _array), F.array().cast("array<variant>")), _literal(arg)))
+
+
 def change_document(doc: Column, changes: dict) -> Column:
     """A document with the operators applied in their order."""
     for op, args in changes.items():
         _check(op, args)
         for path, arg in args.items():
-            parts = path.split(".")
-            v = Value(doc, T.VariantType()).child(parts)
-            top = Value(doc, T.VariantType()).child([path])
-            items = F.when(F.schema_of_variant(top.column).startswith("ARRAY"), F.try_variant_get(top.column, "$", "array<variant>"))
-            if op == "$set":
-                doc = set_path(doc, parts, _literal(arg))
-            elif op == "$unset":
-                doc = unset_path(doc, parts)
-            elif op == "$inc":
-                if number_of(arg) is None:
-                    raise QueryError("$inc takes numbers")
-                own = F.when(v.kind() == "number", v.number())
-                doc = set_path(doc, parts, _whole_number(F.coalesce(own, F.lit(0.0)) + float(number_of(arg))))
-            elif op == "$push":  # a literal top-level name; what is no array is replaced
-                doc = set_path(doc, [path], F.to_variant_object(F.array_append(F.coalesce(items, F.array().cast("array<variant>")), _literal(arg))))
-            else:
-                kept = without(items, arg)
-                doc = F.when(items.isNotNull(), set_path(doc, [path], F.to_variant_object(kept))).otherwise(doc)
+            if op == "$inc" and number_of(arg) is None:
+                raise QueryError("$inc takes numbers")
+            if op == "$unset":
+                doc = unset_path(doc, path.split("."))
+            elif op == "$pull":  # a literal top-level name
+                doc = _pull(doc, path, arg)
+            else:  # $push takes a literal top-level name too; what is no array is replaced
+                doc = change_path(doc, [path] if op == "$push" else path.split("."), _change(op, arg))
     return doc
 
 
+def _pull(doc: Column, name: str, x: Any) -> Column:
+    def changed(d: Column, m: Column) -> Column:
+        return let(let(F.try_element_at(m, F.lit(name)), _array), lambda items: F.when(items.isNotNull(), _with(m, name, F.to_variant_object(without(items, x)))).otherwise(d))
+
+    return let(doc, lambda d: let(_object(d), lambda m: changed(d, m)))
+
+
 def _cast(x: Any, kind: T.DataType) -> Column:
     if x is None:
         return F.lit(None).cast(kind)
@@ -98,16 +130,30 @@ def _cast(x: Any, kind: T.DataType) -> Column:
         return _literal(x)
     if isinstance(x, (dict, list)):
         return F.from_json(F.lit(canonical(x)), kind)
+    if not _fits(x, kind):
+        raise QueryError(f"{x!r} is no value of a column of type {kind.simpleString()}")
     return F.lit(x).try_cast(kind)
 
 
+def _fits(x: Any, kind: T.DataType) -> bool:
+    """Whether a scalar can be a value of a typed column, without loss."""
+    if isinstance(kind, T.BooleanType) or isinstance(x, bool):
+        return isinstance(x, bool) and isinstance(kind, (T.BooleanType, T.StringType))
+    if isinstance(kind, INTEGRAL):
+        return number_of(x) is not None and float(number_of(x)).is_integer()
+    if isinstance(kind, T.NumericType):
+        return number_of(x) is not None
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return isinstance(x, str) and is_time_text(x)
+    return kind_of(x) in ("string", "number")
+
+
 def _set_typed(c: Column, kind: T.DataType, path: list[str], new) -> Column:
     """new: gives the new column from the old one and its type."""
     if not path:
         return new(c, kind)
     if isinstance(kind, T.VariantType):
-        v = Value(c, kind).child(path)
-        return set_path(c, path, Value(new(v.column, T.VariantType()), T.VariantType()).column)
+        return change_path(c, path, lambda v: new(v, T.VariantType()))
     if isinstance(kind, T.StructType) and path[0] in kind.names:
         return c.withField(f"`{path[0]}`", _set_typed(c[path[0]], kind[path[0]].dataType, path[1:], new))
     raise QueryError(f"no field {'.'.join(path)} in {kind.simpleString()}")
@@ -125,6 +171,9 @@ def change_columns(rel: Relation, changes: dict, match: Column) -> Relation:
                     continue
                 df = df.withColumn(head, F.lit(None).cast("variant"))
             kind = df.schema[head].dataType
+            if op == "$inc" and not rest and isinstance(kind, INTEGRAL) and number_of(arg) is not None and not float(number_of(arg)).is_integer():
+                df = df.withColumn(head, F.col(f"`{head}`").cast("double"))  # a fraction widens the column
+                kind = T.DoubleType()
 
             def new(c: Column, k: T.DataType, op=op, arg=arg) -> Column:
                 if op == "$set":
@@ -134,18 +183,19 @@ def change_columns(rel: Relation, changes: dict, match: Column) -> Relation:
                 if op == "$inc":
                     if number_of(arg) is None:
                         raise QueryError("$inc takes numbers")
-                    own = Value(c, k)
-                    total = F.coalesce(own.number() if own.is_number or own.is_variant else F.lit(None).cast("double"), F.lit(0.0)) + float(number_of(arg))
                     if isinstance(k, T.VariantType):
-                        return _whole_number(total)
-                    if isinstance(k, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and isinstance(number_of(arg), int):
-                        return F.coalesce(c, F.lit(0).cast(k)) + F.lit(number_of(arg)).cast(k)
+                        return _change(op, arg)(c)
+                    own = Value(c, k)
+                    total = F.coalesce(own.number() if own.is_number else F.lit(None).cast("double"), F.lit(0.0)) + float(number_of(arg))
+                    if isinstance(k, INTEGRAL):
+                        if not float(number_of(arg)).is_integer():
+                            raise QueryError(f"$inc by {arg} needs a column of fractions, not {k.simpleString()}")
+                        return F.coalesce(c, F.lit(0).cast(k)) + F.lit(int(number_of(arg))).cast(k)
                     return total.cast(k) if own.is_number else total.cast("string").cast(k)
                 if isinstance(k, T.VariantType):
-                    items = F.when(F.schema_of_variant(c).startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
                     if op == "$push":
-                        return F.to_variant_object(F.array_append(F.coalesce(items, F.array().cast("array<variant>")), _literal(arg)))
-                    return F.when(items.isNotNull(), F.to_variant_object(without(items, arg))).otherwise(c)
+                        return _change(op, arg)(c)
+                    return let(c, lambda c: let(_array(c), lambda items: F.when(items.isNotNull(), F.to_variant_object(without(items, arg))).otherwise(c)))
                 if not isinstance(k, T.ArrayType):
                     return F.array(_cast(arg, k)).cast("string").cast(k) if op == "$push" and isinstance(k, T.StringType) else c
                 item = k.elementType
@@ -162,8 +212,8 @@ def updated(rel: Relation, f: Filter, changes: dict) -> Relation:
     match = condition(rel, f)
     if not rel.document:
         return change_columns(rel, changes, match)
-    doc = F.when(F.coalesce(match, F.lit(False)), change_document(F.col(DOC), changes)).otherwise(F.col(DOC))
-    return rel.with_df(rel.df.withColumn(DOC, doc))
+    changed = change_document(F.col(DOC), changes)
+    return rel.with_df(rel.df.withColumn(DOC, F.when(F.coalesce(match, F.lit(False)), changed).otherwise(F.col(DOC))))
 
 
 def remaining(rel: Relation, f: Filter) -> Relation:

@@ -29,6 +29,10 @@ class Relation:
     order: tuple[tuple[Column, bool], ...] = ()
     #: Columns that are no fields of the documents.
     hidden: frozenset[str] = field(default_factory=frozenset)
+    #: Of documents: paths whose kind, number and text are columns of df by themselves, and those columns' names.
+    keys: dict[str, tuple[str, str, str]] = field(default_factory=dict)
+    #: Whether df's rows come in that order.
+    ordered: bool = False
     #: {f: null} matches nulls of typed columns.
     null_is_value: bool = False
     #: Reproduce behaviour that is documented otherwise (raw-text sort order and the like).
@@ -56,7 +60,8 @@ class Relation:
         if head == "_id" and self.id is not None:
             return Value(self.id, self.id_type or T.StringType()).child(rest)
         if self.document:
-            return Value(F.col(DOC), T.VariantType()).child([head, *rest])
+            v = Value(F.col(DOC), T.VariantType()).child([head, *rest])
+            return replace(v, parts=tuple(F.col(c) for c in self.keys[path])) if path in self.keys else v
         # a column whose own name has dots, then the rest
         parts = path.split(".")
         for n in range(len(parts) - 1, 0, -1):
@@ -76,4 +81,5 @@ def typed(df: DataFrame, id: str | Column | None = None, json: tuple[str, ...] =
 
 def documents(df: DataFrame, **options) -> Relation:
     """A relation of documents: df has _id string, doc VARIANT and _ord long."""
-    return Relation(df, F.col("_id"), T.StringType(), document=True, order=((F.col(ORD), True),), hidden=frozenset({ORD, "_id"}), **options)
+    keys = options.get("keys", {})
+    return Relation(df, F.col("_id"), T.StringType(), document=True, order=((F.col(ORD), True),), hidden=frozenset({ORD, "_id", *(c for k in keys.values() for c in k)}), **options)

@@ -186,7 +186,7 @@ def test_backup_restore_compact(db, spark, tmp_path):
     db["a"].ensure_index("x")
     db.backup(f"file://{tmp_path}/copy")
     db["a"].delete({"_id": "1"})
-    db.compact()
+    db.compact(keep=0, grace_seconds=0)
     assert db["a"].count() == 1 and len(db.store.names("data")) == 1 and len(db["a"].indexes()) == 2
     back = Database.restore(spark, f"file://{tmp_path}/copy", f"file://{tmp_path}/back")
     assert back["a"].count() == 2 and back.verify() == 2
