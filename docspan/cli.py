@@ -49,7 +49,7 @@ def run(args: list[str], spark: Any = None) -> Any:
     """What a command prints, as a value."""
     a = _parser().parse_args(args)
     if a.verb == "samples":
-        return assist.samples(a.collection or "users")
+        return assist.samples(a.collection or "orders")
     if spark is None:
         from pyspark.sql import SparkSession
 

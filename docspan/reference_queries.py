@@ -50,6 +50,9 @@ nql("gte_fraction_on_int", "db.part.find({ p_size: { $gte: 15.5, $lt: 30.5 } })"
 nql("range_two_sided", "db.orders.find({ o_totalprice: { $gte: 1000, $lt: 50000 } })", ORDERS + "o_totalprice >= 1000 and o_totalprice < 50000")
 nql("range_string", 'db.customer.find({ c_name: { $gte: "Customer#000001000" } })', "select * from customer where c_name >= 'Customer#000001000'")
 nql("range_timestamp", 'db.orders.find({ o_orderdate: { $gte: "1997-01-01T00:00:00" } })', ORDERS + "o_orderdate >= timestamp '1997-01-01 00:00:00'")
+nql("range_not_a_time", 'db.orders.find({ o_orderdate: { $gt: "1997 or so" } })', ORDERS + "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') > '1997 or so'")
+nql("ne_not_a_time", 'db.orders.find({ o_orderdate: { $ne: "abc" } })', "select * from orders")
+nql("nin_not_a_time", 'db.orders.find({ o_orderdate: { $nin: ["abc", "1996-01-02"] } })', ORDERS + "o_orderdate <> timestamp '1996-01-02'")
 nql("cross_kind_lt", "db.part.find({ p_brand: { $lt: 5 } })", "select * from part")
 nql("cross_kind_gt", "db.part.find({ p_brand: { $gt: 5 } })", "select * from part where false")
 nql("cross_kind_number", 'db.part.find({ p_size: { $gt: "abc" } })', "select * from part")
@@ -130,11 +133,12 @@ nql("lookup_anti", f'db.documents.aggregate([{LABELS}, {{ $match: {{ marks: [] }
 nql("lookup_limit", 'db.orders.aggregate([{ $sort: { o_orderkey: 1 } }, { $lookup: { from: "customer", localField: "o_custkey", foreignField: "c_custkey", as: "buyer" } }, { $limit: 25 }])', "select o_orderkey, c_name as name from (select * from orders order by o_orderkey limit 25) join customer on o_custkey = c_custkey", "o_orderkey", "try_element_at(buyer, 1).c_name as name")
 nql("lookup_no_field", 'db.nation.aggregate([{ $lookup: { from: "region", localField: "nothing", foreignField: "r_regionkey", as: "r" } }])', "select n_nationkey, cast(0 as integer) as matches from nation", "n_nationkey", "size(r) as matches")
 add("lookup_then_group", lambda t: t.frame('db.orders.aggregate([{ $lookup: { from: "customer", localField: "o_custkey", foreignField: "c_custkey", as: "buyer" } }, { $project: { buyer: 1, o_totalprice: 1 } }])').groupBy(F.try_element_at("buyer", F.lit(1))["c_mktsegment"].alias("segment")).agg(F.round(F.sum("o_totalprice"), 2).alias("total")), "select c_mktsegment as segment, round(sum(o_totalprice), 2) as total from orders left join customer on o_custkey = c_custkey group by 1")
-nql("lookup_raw_array", 'db.region.aggregate([{ $lookup: { from: "nation", localField: "_id", foreignField: "n_regionkey", as: "nations" } }])', None)
+nql("lookup_raw_array", 'db.region.aggregate([{ $lookup: { from: "nation", localField: "_id", foreignField: "n_regionkey", as: "nations" } }])', "select r_regionkey, r_name, coalesce(list({'_id': cast(n_nationkey as varchar), 'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey} order by n_nationkey) filter (where n_nationkey is not null), []) as nations from region left join nation on r_regionkey = n_regionkey group by 1, 2")
 
 # writes, as the rows that they would leave
 nql("update_set", 'db.part.update({ p_size: { $gt: 40 } }, { $set: { p_brand: "Brand#X", p_size: 0 } })', "select p_partkey, p_name, case when p_size > 40 then 'Brand#X' else p_brand end as p_brand, p_type, case when p_size > 40 then 0 else p_size end as p_size, p_retailprice from part")
 nql("update_inc", 'db.supplier.update({ s_nationkey: 3 }, { $inc: { s_acctbal: 10.5, s_nationkey: 1 } })', "select s_suppkey, s_name, case when s_nationkey = 3 then s_nationkey + 1 else s_nationkey end as s_nationkey, case when s_nationkey = 3 then s_acctbal + 10.5 else s_acctbal end as s_acctbal from supplier")
+nql("update_inc_fraction", "db.part.update({ p_size: { $lt: 10 } }, { $inc: { p_size: 1.5 } })", "select p_partkey, p_name, p_brand, p_type, case when p_size < 10 then p_size + 1.5 else p_size end::double as p_size, p_retailprice from part")
 nql("update_unset", 'db.nation.update({ n_regionkey: 1 }, { $unset: { n_name: "" } })', "select n_nationkey, case when n_regionkey = 1 then null else n_name end as n_name, n_regionkey from nation")
 add("update_nested", lambda t: t.frame('db.events.update({ "props.k": { $gte: 50 } }, { $set: { "props.flag.on": true }, $inc: { "props.k": 1 } })').select("event_id", F.try_variant_get("props", "$.k", "long").alias("k"), F.coalesce(F.try_variant_get("props", "$.flag.on", "boolean"), F.lit(False)).alias("flag")), "select event_id, cast(json_extract(props, '$.k') as bigint) + case when cast(json_extract(props, '$.k') as double) >= 50 then 1 else 0 end as k, cast(json_extract(props, '$.k') as double) >= 50 as flag from events")
 add("update_push", lambda t: t.frame("db.embeddings.update({ label: 1 }, { $push: { embedding: 2 } })").select("vec_id", F.size("embedding").alias("n"), F.element_at("embedding", -1).cast("double").alias("last")), "select vec_id, cast(len(embedding) + case when label = 1 then 1 else 0 end as integer) as n, case when label = 1 then cast(2 as double) else cast(embedding[-1] as double) end as last from embeddings")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from docspan.errors import QueryError
 from docspan.functions.values import NUMERIC_TEXT, Value, json_text
-from docspan.relation import DOC, Relation
+from docspan.relation import DOC, ORD, Relation
 
 MAP = "map<string,variant>"
 
@@ -157,12 +157,13 @@ def write_json(rel: Relation, path: str) -> None:
 
 
 def columns_of(rel: Relation) -> list[str]:
-    """Top-level fields: of typed rows the columns; of documents the sorted union of their keys. _id comes first."""
+    """Top-level fields: of typed rows the columns; of documents their keys, by the first document that has them and by name. _id comes first."""
     if not rel.document:
         names = [c for c in rel.fields if c != "_id"]
     else:
-        keys = rel.df.select(F.explode(F.map_keys(F.try_variant_get(DOC, "$", MAP))).alias("k")).groupBy("k").agg(F.min("k").alias("first"))
-        names = sorted(r.k for r in keys.collect() if r.k != "_id") + [c for c in rel.fields if c != DOC]
+        place = F.col(ORD) if ORD in rel.df.columns else F.lit(0)
+        keys = rel.df.select(F.explode(F.map_keys(F.try_variant_get(DOC, "$", MAP))).alias("k"), place.alias("at")).groupBy("k").agg(F.min("at").alias("first"))
+        names = [r.k for r in sorted(keys.collect(), key=lambda r: (r.first, r.k)) if r.k != "_id"] + [c for c in rel.fields if c != DOC]
     return (["_id"] if rel.id is not None else []) + names
 
 

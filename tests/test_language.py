@@ -69,4 +69,4 @@ def test_assist():
     assert assist.completions("db.users.fi", 11) == ["find"]
     assert assist.completions("{ $g", 4) == ["$group", "$gt", "$gte"]
     assert len(assist.completions("", 0, [f"c{i}" for i in range(50)])) == 40
-    assert assist.samples("orders")["Find all"] == "db.orders.find({}).limit(50)"
+    assert assist.samples("part")["Everything"] == "db.part.find().limit(20)"
