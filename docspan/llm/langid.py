@@ -6,24 +6,25 @@ counts all along a long text; every piece is compressed, in lower case, with eve
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspan.llm.common import fresh_name, map_arrow, small_batches
 
-#: The sample for the dictionaries: so many texts a language (those with the least hash of their id), so many bytes in all.
-SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 96 << 10
+#: The sample for the dictionaries: so many texts a language (those with the least hash of id and text), so many bytes in all;
+#: and so many languages, the most frequent ones.
+SAMPLE_TEXTS, DICTIONARY_BYTES, LANGUAGES = 400, 96 << 10, 500
 PIECE_BYTES, LEVEL = 2048, 6
 #: A best size that is not smaller than the next by this share is too close to call.
 LEAST_MARGIN = 0.01
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 class Classifier:
@@ -73,20 +74,22 @@ class Classifier:
 
 
 def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", allowed=None) -> Classifier:
-    """From at most SAMPLE_TEXTS texts of each language; rows with a null id, text or language teach nothing.
+    """From at most SAMPLE_TEXTS different texts of each language; rows with a null id, text or language teach nothing.
 
-    allowed: a condition on the rows. A table without such rows gives a classifier that answers und.
+    allowed: a condition on the rows. A table without such rows gives a classifier that answers und. Repeated rows count
+    once. Of a text that is longer than half a dictionary, the middle is learned from.
     """
     rows = docs.where(allowed) if allowed is not None else docs
-    ids = rows.select(F.col(id).alias("_i"), F.col(lang).alias("_l")).where("_i is not null and _l is not null")
-    order = Window.partitionBy("_l").orderBy(F.xxhash64("_i"), "_i")
-    few = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_TEXTS).select("_i", "_l").distinct()
-    # few is bounded: SAMPLE_TEXTS ids a language
-    own = rows.select(F.col(id).alias("_i"), F.col(lang).alias("_l"), F.substring(F.col(text), 1, 1 << 20).alias("_t")).where("_t is not null").join(F.broadcast(few), ["_i", "_l"])
-    samples = defaultdict(list)
+    rows = rows.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), F.xxhash64(id, text).alias("_h")).where(F.col(id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    sizes = {r["_l"]: r["count"] for r in rows.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(LANGUAGES).collect()}
+    # hashes are even, so that about twice the sample lies below a share of their range; no row moves for it
+    below = [F.when(F.col("_l") == k, F.col("_h") < int(min(2**63 - 1, -(2**63) + 2**64 * 2 * SAMPLE_TEXTS / n))) for k, n in sizes.items()]
     half = DICTIONARY_BYTES // 2
-    cut = F.when(F.length("_t") > half, F.substring("_t", (F.length("_t") - half) / 2 + 1, half)).otherwise(F.col("_t"))
-    for r in sorted(own.select("_l", F.xxhash64("_i").alias("_h"), cut.alias("_t")).collect(), key=lambda r: (r._h, r._t)):
+    middle = F.when(F.length("_t") > half, F.substring("_t", ((F.length("_t") - half) / 2 + 1).cast("int"), F.lit(half))).otherwise(F.col("_t"))
+    few = rows.where(F.coalesce(*below, F.lit(False))) if below else rows.limit(0)
+    few = few.select("_l", "_h", middle.alias("_t")).groupBy("_l", "_h").agg(F.min("_t").alias("_t"))
+    samples = defaultdict(list)
+    for r in sorted(few.orderBy("_h", "_l").limit(3 * SAMPLE_TEXTS * max(1, len(sizes))).collect(), key=lambda r: (r._h, r._l)):
         if len(samples[r._l]) < SAMPLE_TEXTS:
             samples[r._l].append(r._t)
     return Classifier(dict(samples))
