@@ -256,7 +256,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
                 v[at] -= rate * (a[at] / (1 - 0.9**step)) / (np.sqrt(b[at] / (1 - 0.99**step)) + 1e-7)
     # held-back rows set the bias: a score of THRESHOLD lies between the classes
     if len(held) and (yes := net.logits([t for t, v in held if v])).size and (no := net.logits([t for t, v in held if not v])).size:
-        low, high = float(np.quantile(yes, 0.02)), float(np.quantile(no, 0.999))
+        low, high = float(np.quantile(yes, 0.02)), float(np.quantile(no, 0.995))
         middle = (low + high) / 2 if low > high else high
         net.p["o0"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
     return net
@@ -266,7 +266,8 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """A network trained on at most SAMPLE_ROWS labelled rows of either class (those with the least hash of their id).
 
     allowed: a condition on the labels' rows. Rows with a null id, label or text, or a longer text than SAMPLE_BYTES, are
-    not learned from; an id with several labels counts as toxic if one says so. None if the sample has one class only.
+    not learned from; an id with several labels counts as toxic if one says so, of an id with several texts the least is
+    taken. None if the sample has one class only.
     """
     rows = labels.where(allowed) if allowed is not None else labels
     rows = rows.select(F.col(id).alias("_i"), F.col(label).cast("int").alias("_y")).where("_i is not null and _y in (0, 1)").groupBy("_i").agg(F.max("_y").alias("_y"))
@@ -275,6 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         part = rows.where(F.col("_y") == v).orderBy(F.xxhash64("_i"), "_i").limit(2 * SAMPLE_ROWS[v])
         few = part if few is None else few.unionByName(part)
     own = docs.select(F.col(id).alias("_i"), F.col(text).alias("_t")).where(F.octet_length("_t") <= SAMPLE_BYTES).join(F.broadcast(few), "_i")
+    own = own.groupBy("_i").agg(F.min("_t").alias("_t"), F.min("_y").alias("_y"))  # a row of each id at most, and few is bounded
     got = sorted((hash_key, r) for r in own.select("_i", "_t", "_y", F.xxhash64("_i").alias("_h")).collect() for hash_key in [(r._h, str(r._i), r._t)])
     taken: Counter = Counter()
     texts, ys = [], []
