@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from docspan.llm.common import cut
 
-BINS = 512
+#: Bins of a node's histogram at most, and of all nodes of a level together: what the driver gets of a pass.
+BINS, ALL_BINS = 512, 1 << 18
+#: The most shards of a tree.
+MOST_SHARDS = 1 << 14
 #: Bits of a dimension's value, and of the hash that orders rows of the same value.
 VALUE_BITS, TIE_BITS = 31, 31
 
@@ -54,6 +57,8 @@ def assign(rows: DataFrame, shards: int, dims: list[str], weight: str) -> tuple[
         tie = F.shiftrightunsigned(F.xxhash64("_row", F.lit(i)), 64 - TIE_BITS)
         return F.greatest(F.lit(0), F.least(F.lit(top), value)).cast("long") * (1 << TIE_BITS) + tie
 
+    if shards > MOST_SHARDS:
+        raise ValueError(f"{shards} shards: shard by a prefix first, as the tree of more than {MOST_SHARDS} leaves is not held on the driver")
     points = rows.select("*", *(key(i).alias(f"_k{i}") for i in range(n)), F.lit(0).cast("long").alias("_node"))
     open_, leaves, inner, number = [Node(0, shards, 0)], [], [], 1
     while any(x.shards > 1 for x in open_):
@@ -68,16 +73,17 @@ def assign(rows: DataFrame, shards: int, dims: list[str], weight: str) -> tuple[
             else:
                 x.done = True  # an empty node
         while todo := {x.number: x for x in open_ if not x.done}:
+            bins_ = max(8, min(BINS, ALL_BINS // len(todo)))
             own = live.where(F.col("_node").isin(list(todo)))
             which = _case("_node", {k: x.dim for k, x in todo.items()})
             at = F.element_at(F.array(*(F.col(f"_k{i}") for i in range(n))), (which + 1).cast("int"))
-            lo, width = _case("_node", {k: x.lo for k, x in todo.items()}), _case("_node", {k: max(1, -(-(x.hi - x.lo) // BINS)) for k, x in todo.items()})
+            lo, width = _case("_node", {k: x.lo for k, x in todo.items()}), _case("_node", {k: max(1, -(-(x.hi - x.lo) // bins_)) for k, x in todo.items()})
             bins = own.withColumn("_at", at).withColumn("_lo", lo).withColumn("_hi", _case("_node", {k: x.hi for k, x in todo.items()})).withColumn("_w", width).where("_at >= _lo and _at < _hi").withColumn("_bin", F.expr("(_at - _lo) div _w"))
             found: dict[int, list] = {k: [] for k in todo}
-            for r in bins.groupBy("_node", "_bin").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"), F.max("_at").alias("last")).collect():  # at most BINS rows a node
+            for r in bins.groupBy("_node", "_bin").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"), F.max("_at").alias("last")).collect():  # ALL_BINS rows at most
                 found[r["_node"]].append((r["_bin"], float(r.w), r.n, r["last"]))
             for k, x in todo.items():
-                width_ = max(1, -(-(x.hi - x.lo) // BINS))
+                width_ = max(1, -(-(x.hi - x.lo) // bins_))
                 total = x.before
                 for b, w, count, last in sorted(found[k]):
                     if total + w >= x.goal:
@@ -121,18 +127,31 @@ def with_slots(rows: DataFrame, per_group: int = 100_000) -> DataFrame:
     return numbered.join(before, ["_shard", "_group"]).withColumn("_slot", F.col("_before") + F.col("_place") - 1).drop("_group", "_before", "_place")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, id: str = "doc_id", text: str = "text", target_bytes: int | None = None) -> DataFrame:
+def leading(column: str) -> Column:
+    """A text's first three bytes as a number, so that texts keep their order."""
+    return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 3)), 6, "0"), 16, 10).cast("long")
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, id: str = "doc_id", text: str = "text", target_bytes: int | None = None, metadata: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard): one row for each row of docs; shards hold near equal bytes.
 
+    Dimensions: the id, the logarithm of the size, and those metadata columns that docs has (texts by their first bytes).
     size: UTF-8 bytes of the text, none for a null, plus 8. With target_bytes, the number of shards is what gives leaves of
     at most about that size. Rows with a null id, and repeated rows, are rows like any other. An empty table gives no rows.
     """
     text_ = F.coalesce(F.col(text), F.lit(""))
-    meta = docs.select(F.col(id).alias("_id"), (F.octet_length(text_).cast("long") + 8).alias("size"), F.crc32(text_.cast("binary")).cast("long").alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
+    names, more = [], []
+    for i, c in enumerate(x for x in metadata if x in docs.columns):
+        kind = docs.schema[c].dataType.typeName()
+        names.append(f"_m{i}")
+        more.append((leading(f"`{c}`") if kind == "string" else F.col(f"`{c}`").cast("long")).alias(names[-1]))
+    meta = docs.select(F.col(id).alias("_id"), (F.octet_length(text_).cast("long") + 8).alias("size"), F.crc32(text_.cast("binary")).cast("long").alias("text_crc32"), F.monotonically_increasing_id().alias("_row"), *more)
     meta = cut(meta)
+    if not (target_bytes or 0) >= 0 or shards < 1:
+        raise ValueError("a positive number of shards, or of bytes, is needed")
     if target_bytes:
         shards = max(1, -(-(meta.agg(F.sum("size").alias("n")).first().n or 0) // target_bytes))
-    points = meta.withColumn("_d0", F.coalesce(F.xxhash64("_id") if dict(docs.dtypes)[id] == "string" else F.col("_id").cast("long"), F.lit(0))).withColumn("_d1", (F.log2("size") * 1000).cast("long"))
-    dealt, _ = assign(points, shards, ["_d0", "_d1", "text_crc32"], "size")
-    out = with_slots(dealt.drop("_d0", "_d1"))
+    points = meta.withColumn("_d0", F.coalesce(leading("_id") if dict(docs.dtypes)[id] == "string" else F.col("_id").cast("long"), F.lit(0))).withColumn("_d1", (F.log2("size") * 1000).cast("long"))
+    dealt, _ = assign(points, shards, ["_d0", "_d1", *names], "size")
+    out = with_slots(dealt.drop("_d0", "_d1", *names))
     return out.select(F.col("_id").alias(id), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
