@@ -35,7 +35,7 @@ FREQUENT = 20_000
 #: Bits of the filters of repeated and of very frequent grams; fixed sizes, whatever the corpus.
 REPEATED_BITS, FREQUENT_BITS = 1 << 28, 1 << 24
 #: Splitters at most, and bytes of a text that are hashed at once.
-SPLITTERS, SEGMENT = 2048, 4 << 20
+SPLITTERS, SEGMENT = 1 << 14, 4 << 20
 LEAD = 16
 
 
@@ -84,26 +84,36 @@ def _filter(grams: DataFrame, size: int) -> np.ndarray:
     return bits
 
 
+#: Ranges of no more rows are sorted whole by a quicksort's last step.
+SMALL_RANGE = 1024
+
+
 def multikey_order(rows: np.ndarray) -> np.ndarray:
-    """The order of equal-length byte rows: by the first 8 bytes, and ties by the next 8, as long as there are ties."""
+    """The order of equal-length byte rows by multikey quicksort, on words of 8 bytes.
+
+    A range is split three ways by the word at its depth: less, equal and more than a pivot. Only the equal part goes on to
+    the next word; small ranges are sorted by the words that are left.
+    """
     width = -(-rows.shape[1] // 8) * 8
     padded = np.zeros((len(rows), width), dtype=np.uint8)
     padded[:, : rows.shape[1]] = rows
     words = padded.view(">u8").astype(np.uint64)
-    order = np.argsort(words[:, 0], kind="stable")
-    group = np.append(0, np.cumsum(words[order[1:], 0] != words[order[:-1], 0])) if len(order) else order
-    for k in range(1, words.shape[1]):
-        tied = np.append(False, group[1:] == group[:-1])
-        tied[:-1] |= tied[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        own = order[at]
-        resort = np.lexsort((words[own, k], group[at]))
-        order[at] = own[resort]
-        new = np.zeros(len(order), dtype=np.int64)
-        new[at[1:]] = (words[order[at[1:]], k] != words[order[at[:-1]], k]) & (at[1:] == at[:-1] + 1) & (group[at[1:]] == group[at[:-1]])
-        group = group + np.cumsum(new)
+    order = np.arange(len(rows))
+    todo = [(0, len(rows), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo < 2 or depth == words.shape[1]:
+            continue
+        own = order[lo:hi]
+        if hi - lo <= SMALL_RANGE:
+            order[lo:hi] = own[np.lexsort(words[own, depth:].T[::-1])]
+            continue
+        word = words[own, depth]
+        pivot = np.sort(word[[0, len(word) // 4, len(word) // 2, -(len(word) // 4) - 1, -1]])[2]
+        less, more = word < pivot, word > pivot
+        a, b = lo + int(less.sum()), hi - int(more.sum())
+        order[lo:hi] = np.concatenate([own[less], own[~(less | more)], own[more]])
+        todo += [(lo, a, depth), (a, b, depth + 1), (b, hi, depth)]
     return order
 
 
@@ -156,7 +166,7 @@ def repeated(contexts: list[bytes], anchor: np.ndarray, copies: np.ndarray) -> t
 
 
 def text_key(data: bytes) -> bytes:
-    return hashlib.md5(data, usedforsecurity=False).digest()
+    return hashlib.sha256(data).digest()
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +213,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def intervals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key binary, begin long, end long): bytes to remove from the texts whose MD5 is key; intervals may overlap or repeat."""
+    """(key binary, begin long, end long): bytes to remove from the texts whose SHA-256 is key; intervals may overlap or repeat."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("_t")).where(F.octet_length("_t") >= LENGTH)
 
@@ -267,7 +277,7 @@ def intervals(docs: DataFrame, text: str = "text") -> DataFrame:
     out = map_arrow(rare.repartition("bucket").sortWithinPartitions("bucket", "gram"), _sorted_buckets, "key binary, begin long, end long")
     if counts.where(F.col("n") > FREQUENT).limit(1).count():
         windows = map_arrow(texts, scan(True), f"window binary, {owners}")
-        twice = windows.groupBy("window").agg(F.sum(F.size("owners")).alias("n")).where("n > 1").select("window")
+        twice = cut(windows.groupBy("window").agg(F.sum(F.size("owners")).alias("n")).where("n > 1").select("window"))
         hit = windows.join(twice, "window").select(F.explode("owners").alias("o"))
         spans = hit.select("o.key", F.col("o.at").alias("begin"), (F.col("o.at") + LENGTH).alias("end"))
         out = out.unionByName(spans)
@@ -305,8 +315,9 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     add = [fresh_name(x, names) for x in ("_n_bytes", "_removed", "_kept")]
     spans = map_arrow(intervals(docs, text), _unions, "key binary, begin long, end long")
     own, other, found = (fresh_name(x, names) for x in ("_text_key", "_key", "_spans"))
-    spans = spans.groupBy(F.col("key").alias(other)).agg(F.collect_set(F.struct("begin", "end")).alias(found))
-    keyed = docs.withColumn(own, F.unhex(F.md5(F.col(text).cast("binary"))))
+    # written, so that the join is of plain shuffles, in which Spark can split the copies of one text
+    spans = cut(spans.groupBy(F.col("key").alias(other)).agg(F.collect_set(F.struct("begin", "end")).alias(found)))
+    keyed = docs.withColumn(own, F.unhex(F.sha2(F.col(text).cast("binary"), 256)))
     joined = keyed.join(spans, F.col(f"`{own}`") == F.col(f"`{other}`"), "left").select(*(F.col(f"`{c}`") for c in names), f"`{found}`")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
