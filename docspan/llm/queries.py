@@ -52,10 +52,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
-    folder = folder if ":" in folder else f"file://{folder}"
     written = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256, public_tokenizers.PATTERN)
     counted = tokenfiles.count_tokens(spark, folder, 50256)
-    return written.join(counted, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens", "file", "ordinal")
+    # a document without a count would mean that its file is not where the driver looks for it
+    n = F.coalesce("n_tokens", F.raise_error(F.concat(F.lit("no count of "), "file", F.lit(", document "), "ordinal")).cast("long"))
+    return written.join(counted, ["file", "ordinal"], "left").select(F.col("id").alias("doc_id"), n.alias("n_tokens"), "file", "ordinal")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,20 +16,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspan.llm.bpe import WORD_PATTERN, Encoder
+from docspan.llm.bpe import WORD_PATTERN, Encoder, ranks_at
 from docspan.llm.common import cut, map_arrow, small_batches
 
 #: Bytes that a task searches at once.
 BLOCK_BYTES = 4 << 20
 
 
+def vocabulary_size(ranks_path: str) -> int:
+    return ranks_at(ranks_path).size
+
+
 def write_tokens(docs: DataFrame, folder: str, ranks_path: str, separator: int, pattern: str = WORD_PATTERN, text: str = "text", id: str = "doc_id", width: int = 2) -> DataFrame:
     """(file, ordinal, id): writes the texts' ids to a flat file a partition, each text followed by the separator.
 
     Ids are unsigned, little-endian, width bytes each. folder is a URI that executors can reach. A file appears under its
-    name once it is whole, so a task that runs again replaces its own file only. The rows are checkpointed.
+    name once it is whole, so a task that runs again replaces its own file only. The rows are checkpointed. A null or empty
+    text is a separator alone; repeated rows, and rows without an id, are documents of their own; an empty table: no rows.
     """
     kind = docs.schema[id].dataType.simpleString()
+    if max(separator, vocabulary_size(ranks_path) - 1) >= 1 << (8 * width):
+        raise ValueError(f"ids of this vocabulary, or the separator {separator}, need more than {width} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = pafs.FileSystem.from_uri(folder)
