@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import fresh_name, map_arrow, small_batches, split_ranges
+from docspan.llm.common import cut, fresh_name, map_arrow, small_batches, split_ranges
 
 WINDOW, SHINGLE = 10, 5
 #: Bytes of benchmark text whose index is broadcast; a larger benchmark is joined block by block.
@@ -152,12 +152,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """
     spark = docs.sparkSession
     names = docs.columns
-    shared = []
+    add = [fresh_name(x, names) for x in ("_n_words", "_spans", "_items")]
     texts = docs.select(F.col(text).alias("_text"))
+    out, last = None, None
     for block in item_blocks(benchmark, item, item_text):
         index = Index(block)
         if not index.windows:
             continue
+        if out is not None:  # a further block adds to what is written; the index before it goes
+            out = cut(out)
+            last.unpersist()
         sent = spark.sparkContext.broadcast(index)
 
         def tally(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -174,22 +178,31 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         for r in map_arrow(texts, tally, "size long, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect():
             counts[r["size"]][r["at"]] = r.n
         index.prune(counts)
-        shared.append(spark.sparkContext.broadcast(index))
         sent.unpersist()
-    add = [fresh_name(x, names) for x in ("_n_words", "_spans", "_items")]
+        last = spark.sparkContext.broadcast(index)
+        out = _scanned(docs if out is None else out, names, add, text, last)
+    return _scanned(docs, names, add, text, None) if out is None else out
+
+
+def _scanned(docs: DataFrame, names: list[str], add: list[str], text: str, index) -> DataFrame:
+    """docs with the columns add, as scan() says; if docs has them already, what this index finds is added to them."""
+    before = add[0] in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, names.index(text)):
             texts = batch.column(names.index(text)).to_pylist()
             hits: list[list[tuple[int, int, list[str]]]] = [[] for _ in texts]
+            if before:
+                for h, spans, items in zip(hits, batch.column(add[1]).to_pylist(), batch.column(add[2]).to_pylist(), strict=True):
+                    h += [(x["begin"], x["end"], items) for x in spans]
             starts = None
-            for one in shared:
-                index = one.value
-                ids, starts = index.chunk(texts)
-                at, w = index.occurrences(ids, starts)
+            if index is not None:
+                own = index.value
+                ids, starts = own.chunk(texts)
+                at, w = own.occurrences(ids, starts)
                 doc = np.searchsorted(starts, at, side="right") - 1
-                for d, a, n, k in zip(doc.tolist(), (at - starts[doc]).tolist(), index.length[w].tolist(), w.tolist(), strict=True):
-                    hits[d].append((a, a + n, index.items[k]))
+                for d, a, n, k in zip(doc.tolist(), (at - starts[doc]).tolist(), own.length[w].tolist(), w.tolist(), strict=True):
+                    hits[d].append((a, a + n, own.items[k]))
             counts = np.diff(starts) - 1 if starts is not None else np.array([len(words_of(t)) for t in texts], dtype=np.int64)
             spans, items = [], []
             for h in hits:
@@ -202,9 +215,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 spans.append([{"begin": m["begin"], "end": m["begin"] + m["n"]} for m in merged])
                 items.append(sorted({i for x in h for i in x[2]}))
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=[*names, *add])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=[*names, *add])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     return map_arrow(docs, run, f"{kinds}, `{add[0]}` long, `{add[1]}` array<struct<begin:long,end:long>>, `{add[2]}` array<string>")
 
 
