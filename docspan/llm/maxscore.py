@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from docspan.llm.common import map_arrow
 
-#: Candidates in a shard and queries in a block, at most about.
-SHARD_ROWS, BLOCK_ROWS = 32_768, 2048
+#: Candidates in a shard and queries in a block, at most about, and components of a shard's vectors (32 bits each, stored twice).
+SHARD_ROWS, BLOCK_ROWS, SHARD_VALUES = 32_768, 2048, 8 << 20
 #: Candidates whose postings are traversed before the threshold is raised again.
 STEP_ROWS = 4096
 
@@ -35,8 +35,9 @@ class Shard:
         self.blocks = []
         for a in range(0, len(x), STEP_ROWS):
             part = x[a : a + STEP_ROWS]
-            up = np.ascontiguousarray((part - self.low).T)
-            down = np.ascontiguousarray((self.high - part).T)
+            kind = np.int64 if int((self.high - self.low).max(initial=0)) >= 2**31 else np.int32
+            up = np.ascontiguousarray((part - self.low).T, dtype=kind)
+            down = np.ascontiguousarray((self.high - part).T, dtype=kind)
             # a posting list of few rows is kept by row numbers
             rows = [[np.flatnonzero(c) if np.count_nonzero(c) * 4 < len(c) else None for c in side] for side in (up, down)]
             self.blocks.append((a, (up, down), rows))
@@ -143,8 +144,9 @@ def top_k(vectors: DataFrame, asks, k: int = 20, id: str = "vec_id", vector: str
     v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.where(F.col(id).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(id).cast("long").alias("id"), v.alias("v"), asks.alias("ask"))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("ask").cast("int")), F.lit(0)).alias("q")).first()
-    shards = max(-(-size.n // SHARD_ROWS), min(-(-size.n // STEP_ROWS), 12), 1)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("ask").cast("int")), F.lit(0)).alias("q"), F.max(F.size("v")).alias("w")).first()
+    rows_each = max(1, min(SHARD_ROWS, SHARD_VALUES // max(1, size.w or 1)))
+    shards = max(-(-size.n // rows_each), min(-(-size.n // STEP_ROWS), 12), 1)
     blocks = max(-(-size.q // BLOCK_ROWS), 1)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = rows.where("ask").dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
