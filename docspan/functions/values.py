@@ -182,7 +182,7 @@ class Value:
     # its parts
 
     def once(self, use: Callable[[Value], Column]) -> Column:
-        """use(value), with a VARIANT's path and schema evaluated once a row."""
+        """use(value), with a VARIANT's path and schema evaluated once a row: for filters, where Spark doesn't share subexpressions."""
         if not self.is_variant or self.schema is not None or self.parts is not None:
             return use(self)
         return let(self.column, lambda v: let(F.schema_of_variant(v), lambda s: use(Value(v, self.type, s))))
@@ -198,9 +198,7 @@ class Value:
             return self.parts[0]
         c = self.column
         if self.is_variant:
-            if self.schema is None:
-                return self.once(Value.kind)
-            s = self.schema
+            s = self._schema()
             yes = F.try_variant_get(c, "$", "boolean")
             return (
                 F.when(c.isNull(), F.lit(None))
@@ -240,10 +238,9 @@ class Value:
         if self.parts is not None:
             return self.parts[1]
         if self.is_variant:
-            if self.schema is None:
-                return self.once(Value.number)
-            own = self.schema.isin("BIGINT", "DOUBLE", "FLOAT") | self.schema.startswith("DECIMAL")
-            return F.when(own, F.try_variant_get(self.column, "$", "double")).when(self.schema == "STRING", let(F.try_variant_get(self.column, "$", "string"), text_number))
+            s = self._schema()
+            own = s.isin("BIGINT", "DOUBLE", "FLOAT") | s.startswith("DECIMAL")
+            return F.when(own, F.try_variant_get(self.column, "$", "double")).when(s == "STRING", text_number(F.try_variant_get(self.column, "$", "string")))
         return F.lit(None).cast("double")
 
     def raw(self) -> Column:
@@ -251,9 +248,7 @@ class Value:
         if self.missing:
             return F.lit(None).cast("string")
         if self.is_variant:
-            if self.schema is None and self.parts is None:
-                return self.once(Value.raw)
-            return F.when(self._schema() == "DOUBLE", let(F.try_variant_get(self.column, "$", "double"), whole_as_long)).otherwise(F.to_json(self.column))
+            return F.when(self._schema() == "DOUBLE", whole_as_long(F.try_variant_get(self.column, "$", "double"))).otherwise(F.to_json(self.column))
         if isinstance(self.type, (T.DoubleType, T.FloatType)):
             return whole_as_long(self.column.cast("double"))
         if self.is_number or isinstance(self.type, T.BooleanType):
@@ -267,7 +262,7 @@ class Value:
         if self.missing:
             return F.lit(None).cast("string")
         if self.is_variant:
-            return self.once(lambda v: F.coalesce(v.text(), v.raw()))
+            return F.coalesce(self.text(), self.raw())
         return self.raw() if self.is_nested else self.text() if self.is_time else self.column.cast("string")
 
     def variant(self) -> Column:
@@ -287,7 +282,8 @@ class Value:
         if self.is_number:
             return n(self.column.cast("double"))
         if self.is_text or self.is_variant:
-            return self.once(lambda v: let(v.number(), lambda x: F.when(x.isNotNull(), n(x)).otherwise(v.raw())))
+            number = self.number()
+            return F.when(number.isNotNull(), n(number)).otherwise(self.raw())
         return self.raw()
 
     def sort_keys(self, ascending: bool = True, strict: bool = False) -> list[Column]:
@@ -303,13 +299,10 @@ class Value:
         if strict:
             return [self.raw()]
         if self.is_variant:
-            def rank(v: Value) -> Column:
-                case = F.when(v.number().isNotNull(), 1)
-                for name, r in RANK.items():
-                    case = case.when(v.kind() == name, r)
-                return case
-
-            return [self.once(rank), self.number(), self.plain()]
+            rank = F.when(self.number().isNotNull(), 1)
+            for name, r in RANK.items():
+                rank = rank.when(self.kind() == name, r)
+            return [rank, self.number(), self.plain()]
         return [self.raw()] if isinstance(self.type, (T.MapType, T.StructType)) else [self.column]
 
     # comparison
