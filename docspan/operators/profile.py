@@ -31,16 +31,18 @@ def profile(rel: Relation, samples: int = 3) -> DataFrame:
     """
     kind = F.when(F.col("kind").isin("true", "false"), "bool").otherwise(F.col("kind"))
     shown = F.substring("shown", 1, SAMPLE_CHARS)
-    # the least texts of each field: a bounded set, kept with partial sums
-    distinct = _entries(rel).select("field", kind.alias("kind"), shown.alias("shown"))
-    counts = distinct.groupBy("field").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("types"), F.count(F.lit(1)).alias("present"))
-    least = distinct.where("shown is not null").groupBy("field", "shown").agg(F.count(F.lit(1)).alias("_c"))
-    from pyspark.sql import Window
-
-    few = least.withColumn("_n", F.row_number().over(Window.partitionBy("field").orderBy("shown"))).where(F.col("_n") <= samples)
-    few = few.groupBy("field").agg(F.array_join(F.array_sort(F.collect_list("shown")), " | ").alias("samples"))
+    cells = _entries(rel).select("field", kind.alias("kind"), shown.alias("shown"))
+    # the least texts one after another: each step is a minimum with partial states, so that cells are not shuffled
+    counts = cells.groupBy("field").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("types"), F.count(F.lit(1)).alias("present"), F.min("shown").alias("_s0"))
+    for n in range(1, samples):
+        last = counts.select(F.col("field").alias("_f"), F.col(f"_s{n - 1}").alias("_last"))
+        last = last if rel.document else F.broadcast(last)  # of typed rows there is one for each column
+        step = cells.join(last, F.col("field") == F.col("_f")).where("shown > _last").groupBy("field").agg(F.min("shown").alias(f"_s{n}"))
+        counts = counts.join(step, "field", "left")
+    few = F.filter(F.array(*(F.col(f"_s{n}") for n in range(samples))), lambda x: x.isNotNull()) if samples > 0 else F.array().cast("array<string>")
+    counts = counts.withColumn("samples", F.array_join(few, " | "))
     total = rel.df.agg(F.count(F.lit(1)).alias("_total"))
-    out = counts.join(few, "field", "left").crossJoin(F.broadcast(total))  # one row
+    out = counts.crossJoin(F.broadcast(total))  # one row
     return out.select("field", "types", "present", (F.col("_total") - F.col("present")).alias("missing"), F.round(F.col("present") * 100.0 / F.col("_total"), 1).alias("coverage"), F.coalesce("samples", F.lit("")).alias("samples"))
 
 

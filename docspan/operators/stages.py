@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,13 @@ from docspan.plans.syntax import ACCUMULATORS, Aggregate, Compare, Find, directi
 from docspan.relation import DOC, Relation
 
 
-def sort(rel: Relation, keys: tuple[tuple[str, bool], ...], strict: bool = False) -> Relation:
+def _grouped_next(rest: list) -> bool:
+    """Whether a $group comes next, after filters at most."""
+    op = next((op for op, _ in rest if op != "$match"), None)
+    return op in ("$group", "$count")
+
+
+def sort(rel: Relation, keys: tuple[tuple[str, bool], ...], strict: bool = False, physically: bool = True) -> Relation:
     """By several keys; ties in the order that the rows have, or by _id."""
     values = [(rel.resolve(path), up) for path, up in keys]
     columns: list[tuple[Column, bool]] = [(c, up) for v, up in values for c in v.order_columns(strict)]
@@ -24,7 +30,7 @@ def sort(rel: Relation, keys: tuple[tuple[str, bool], ...], strict: bool = False
     if not order:
         return rel
     by = [(c.asc_nulls_first() if up else c.desc_nulls_last()) for c, up in order]
-    return rel.with_df(rel.df.orderBy(*by), order=order, ordered=True)
+    return rel.with_df(rel.df.orderBy(*by) if physically else rel.df, order=order, ordered=physically)
 
 
 def skip(rel: Relation, n: int) -> Relation:
@@ -115,32 +121,45 @@ def _operand(rel: Relation, x: Any) -> Column:
     return F.lit(float(number_of(x) or 0))
 
 
-def _first(rel: Relation, x: Any) -> tuple[Column, bool]:
-    """(aggregate, whether it needs the rank _rank of a row in its group)."""
+def _first(rel: Relation, x: Any) -> Column:
+    """An aggregate with partial states: the value of the row that comes first."""
     path = _reference(x)
     if path is None:
-        return F.any_value(constant(x)), False
+        return F.any_value(constant(x))
     v = rel.resolve(path)
     if v.missing:
-        return F.any_value(F.lit(x if rel.strict else None).cast("string")), False
-    c = v.column
-    if rel.strict and v.is_text:
-        c = F.coalesce(c, F.lit(x))
-    ways = {up for _, up in rel.order}
-    if not rel.order and rel.id is None:
-        return F.first(c), False
-    keys = [k for k, _ in rel.order] or [rel.id]
-    if ways <= {True} or len(keys) == 1 or _numbers(rel, keys[:-1]):
-        # boxed, as a NULL is a value too
-        signed = [k if up else -k for k, up in (rel.order or ((keys[0], True),))] if _numbers(rel, keys[:-1]) and ways != {True} and ways != {False} else keys
-        pick = F.max_by if ways == {False} else F.min_by
-        if not any(isinstance(f.dataType, T.VariantType) for f in rel.df.select(*(k.alias(f"k{i}") for i, k in enumerate(signed))).schema):
-            return pick(F.struct(c.alias("v")), F.struct(*(k.alias(f"k{i}") for i, k in enumerate(signed)))).getField("v"), False
-    return F.max_by(F.struct(c.alias("v")), F.when(F.col("_rank") == 1, 1)).getField("v"), True
-
-
-def _numbers(rel: Relation, keys: list[Column]) -> bool:
-    return bool(keys) and all(isinstance(f.dataType, T.NumericType) for f in rel.df.select(*(k.alias(f"k{i}") for i, k in enumerate(keys))).schema)
+        return F.any_value(F.lit(x if rel.strict else None).cast("string"))
+    c = F.coalesce(v.column, F.lit(x)) if rel.strict and v.is_text else v.column
+    order = rel.order or (((rel.id, True),) if rel.id is not None else ())
+    if not order:
+        return F.first(c)
+    kinds = rel.df.select(*(k.alias(f"k{i}") for i, (k, _) in enumerate(order))).schema
+    keys = [part for (k, up), f in zip(order, kinds, strict=True) for part in _rising(k, up, f.dataType)]
+    # boxed, as a NULL is a value too
+    return F.min_by(F.struct(c.alias("v")), F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))).getField("v")
+
+
+def _rising(k: Column, up: bool, kind: T.DataType) -> list[Column]:
+    """Keys whose rising order is this one; what is missing is first in a rising order, and last in a falling one."""
+    if up:
+        return [k]  # structs compare NULLs as least
+    if isinstance(kind, T.BooleanType):
+        value = ~k
+    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+        value = -k.cast("long")
+    elif isinstance(kind, T.LongType):
+        value = F.bitwise_not(k)  # the least number has no negative
+    elif isinstance(kind, T.NumericType):
+        value = -k
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):  # a longer array comes before its beginnings
+        value = F.array_append(F.transform(k, lambda x: -x.cast("double")), F.lit(float("inf")))
+    elif isinstance(kind, T.DateType):
+        value = -F.unix_date(k)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        value = -F.unix_micros(k.cast("timestamp"))
+    else:  # the bytes' complements, in hexadecimal; a shorter text comes after those that it begins
+        value = F.concat(F.translate(F.hex(k.cast("string").cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("Z"))
+    return [k.isNull(), value]
 
 
 def group(rel: Relation, spec: Any) -> Relation:
@@ -148,7 +167,7 @@ def group(rel: Relation, spec: Any) -> Relation:
     if not isinstance(spec, dict) or "_id" not in spec:
         raise QueryError("$group takes an object with _id")
     key, back = _key(rel, spec["_id"])
-    aggregates, ranked = [], False
+    aggregates = []
     for name, acc in spec.items():
         if name == "_id":
             continue
@@ -158,15 +177,11 @@ def group(rel: Relation, spec: Any) -> Relation:
         if op not in ACCUMULATORS:
             raise UnsupportedOperator(f"unknown accumulator {op}")
         if op == "$first":
-            a, needs = _first(rel, x)
-            ranked |= needs
+            a = _first(rel, x)
         else:
             a = {"$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max}[op](_operand(rel, x))
         aggregates.append(a.alias(name))
     df = rel.df.withColumn("_key", key)
-    if ranked:
-        order = [(c.asc_nulls_first() if up else c.desc_nulls_last()) for c, up in (rel.order or ((rel.id, True),))]
-        df = df.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
     names = [n for n in spec if n != "_id"]
     grouped = df.groupBy("_key").agg(*aggregates) if aggregates else df.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     out = grouped.select((back if back is not None else F.col("_key")).alias("_id"), *(F.col(f"`{n}`") for n in names))
@@ -191,8 +206,11 @@ def _join_keys(local: Value, foreign: Value) -> tuple[Column, Column]:
     return local.equality_key(), foreign.equality_key()
 
 
-def lookup(rel: Relation, other: Relation, spec: dict, cap: int = 0) -> Relation:
-    """A left outer nest join on equal values: as holds the matching rows in their order. cap: the most rows other may have."""
+def lookup(rel: Relation, other: Relation, spec: dict, cap: int = 0, few: bool = False) -> Relation:
+    """A left outer nest join on equal values: as holds the matching rows in their order. cap: the most rows other may have.
+
+    few: rel has few rows, so other's rows are cut to those with a match before they are nested.
+    """
     name, local, foreign = _sides(rel, other, spec, cap)
     if local.missing or foreign.missing:
         kind = other.df.select(F.collect_list(whole(other)).alias("x")).schema["x"].dataType
@@ -200,6 +218,8 @@ def lookup(rel: Relation, other: Relation, spec: dict, cap: int = 0) -> Relation
     left, right = _join_keys(local, foreign)
     order = [c for c, _ in other.order] or ([other.id] if other.id is not None else [])
     rows = other.df.select(right.alias("_k"), *(c.alias(f"_o{i}") for i, c in enumerate(order)), whole(other).alias("_w")).where("_k is not null")
+    if few:
+        rows = rows.join(rel.df.select(left.alias("_lk")).distinct(), F.col("_k") == F.col("_lk"), "left_semi")
     if order:
         # the order columns come first in the struct; a VARIANT can't be compared, so it goes along by position
         nested = F.collect_list(F.struct(*(F.col(f"_o{i}") for i in range(len(order))), F.col("_w")))
@@ -285,7 +305,8 @@ def run_stages(rel: Relation, stages: tuple, collections, cap: int = 0) -> Relat
         elif op == "$sort":
             if not isinstance(arg, dict):
                 raise QueryError("$sort takes an object")
-            rel = sort(rel, tuple((k, direction(v, True)) for k, v in arg.items()), rel.strict)
+            # rows that are grouped next keep the order in mind, but needn't be sorted
+            rel = sort(rel, tuple((k, direction(v, True)) for k, v in arg.items()), rel.strict, physically=not _grouped_next(stages[i + 1 :]))
         elif op in ("$skip", "$limit"):
             if not isinstance(arg, (int, float)) or isinstance(arg, bool):
                 raise QueryError(f"{op} takes a number")
@@ -304,7 +325,9 @@ def run_stages(rel: Relation, stages: tuple, collections, cap: int = 0) -> Relat
                 stages[i], stages[i + 1] = stages[i + 1], stages[i]
                 continue
             else:
-                rel = lookup(rel, collections(arg["from"] if isinstance(arg, dict) else ""), arg, cap)
+                # two readings of a limit are of the same rows only if the rows are sorted
+                few = rel.ordered and any(op == "$limit" for op, _ in stages[:i])
+                rel = lookup(rel, collections(arg["from"] if isinstance(arg, dict) else ""), arg, cap, few)
         else:
             raise UnsupportedOperator(f"unknown stage {op}")
         i += 1

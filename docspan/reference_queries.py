@@ -117,6 +117,8 @@ nql("group_missing_zero", 'db.events.aggregate([{ $group: { _id: "$event_type",
 nql("group_first", 'db.orders.aggregate([{ $sort: { o_orderkey: 1 } }, { $group: { _id: "$o_custkey", first: { $first: "$o_totalprice" } } }])', """select o_custkey as "_id", arg_min(o_totalprice, o_orderkey) as first from orders group by 1""")
 nql("group_first_desc", 'db.orders.aggregate([{ $sort: { o_totalprice: -1 } }, { $group: { _id: "$o_orderpriority", first: { $first: "$o_orderkey" }, n: { $sum: 1 } } }])', """select o_orderpriority as "_id", arg_max(o_orderkey, o_totalprice) as first, cast(count(*) as double) as n from orders group by 1""")
 nql("group_first_mixed", 'db.orders.aggregate([{ $sort: { o_orderstatus: -1, o_orderkey: 1 } }, { $group: { _id: "$o_custkey", first: { $first: "$o_orderkey" } } }])', """select o_custkey as "_id", first from (select o_custkey, o_orderkey as first, row_number() over (partition by o_custkey order by o_orderstatus desc, o_orderkey) as n from orders) where n = 1""")
+nql("group_first_text_desc", 'db.part.aggregate([{ $sort: { p_name: -1, p_size: 1 } }, { $group: { _id: "$p_brand", first: { $first: "$p_name" }, key: { $first: "$p_partkey" } } }])', """select p_brand as "_id", first, key from (select p_brand, p_name as first, p_partkey as key, row_number() over (partition by p_brand order by p_name desc, p_size, p_partkey) as n from part) where n = 1""")
+nql("group_first_time_desc", 'db.orders.aggregate([{ $sort: { o_orderdate: -1 } }, { $match: { o_orderstatus: "F" } }, { $group: { _id: null, key: { $first: "$o_orderkey" } } }])', """select cast(null as varchar) as "_id", first(o_orderkey order by o_orderdate desc, o_orderkey) as key from orders where o_orderstatus = 'F'""")
 nql("group_having", 'db.orders.aggregate([{ $group: { _id: "$o_custkey", n: { $sum: 1 } } }, { $match: { n: { $gte: 15 } } }])', """select o_custkey as "_id", cast(count(*) as double) as n from orders group by 1 having count(*) >= 15""")
 nql("group_topk", 'db.orders.aggregate([{ $group: { _id: "$o_custkey", n: { $sum: 1 } } }, { $sort: { n: -1 } }, { $limit: 10 }])', """select o_custkey as "_id", cast(count(*) as double) as n from orders group by 1 order by n desc, 1 limit 10""")
 nql("distinct_group", 'db.part.aggregate([{ $group: { _id: "$p_brand" } }])', 'select distinct p_brand as "_id" from part')
@@ -153,13 +155,13 @@ nql("delete_all", "db.nation.delete()", "select * from nation where false")
 def _profile(t: Tables) -> DataFrame:
     from docspan.operators.profile import profile
 
-    return profile(t.relation("documents"), 2).select("field", "types", "present", "missing", "coverage")
+    return profile(t.relation("documents"), 2).select("field", "types", "present", "missing", "coverage", F.when(F.col("field").isin("lang", "source"), F.col("samples")).alias("samples"))
 
 
 add(
     "profile_fields",
     _profile,
-    "select field, types, cast((select count(*) from documents) as bigint) as present, cast(0 as bigint) as missing, cast(100.0 as double) as coverage from (values ('doc_id', 'number'), ('text', 'string'), ('lang', 'string'), ('source', 'string'), ('n_chars', 'number')) v(field, types)",
+    "select field, types, cast((select count(*) from documents) as bigint) as present, cast(0 as bigint) as missing, cast(100.0 as double) as coverage, case field when 'lang' then (select string_agg(x, ' | ' order by x) from (select distinct lang as x from documents order by x limit 2)) when 'source' then (select string_agg(x, ' | ' order by x) from (select distinct source as x from documents order by x limit 2)) end as samples from (values ('doc_id', 'number'), ('text', 'string'), ('lang', 'string'), ('source', 'string'), ('n_chars', 'number')) v(field, types)",
 )
 
 
