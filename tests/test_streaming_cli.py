@@ -59,7 +59,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("restore", f"{db}-copy", f"{db}-back")["documents"] == 1
     run("compact", db)
     run("info", f"{db}-none", code=4)
-    assert "Find all" in run("samples")
+    assert "Everything" in run("samples")
 
 
 def test_encryption(spark, tmp_path):
