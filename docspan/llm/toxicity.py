@@ -28,6 +28,8 @@ THRESHOLD = 0.7
 #: The sample for training: at most so many rows of each class, of texts of up to so many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = {1: 1000, 0: 3000}, 12_288
 ROUNDS, WARM_ROUNDS = 9, 3
+#: Where classes overlap, the threshold lies at this quantile of the clean rows held back from training.
+CLEAN_QUANTILE = 0.995
 
 
 def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +192,15 @@ class Network:
         return out
 
 
+def calibrate(net: Network, held: list[tuple[str, int]], quantile: float | None = None) -> None:
+    """Moves the bias so that a score of THRESHOLD lies between the classes of the rows held back; nothing if one is missing."""
+    logits, toxic = net.logits([t for t, _ in held]), np.array([v == 1 for _, v in held], dtype=bool)
+    if toxic.any() and not toxic.all():
+        low, high = float(np.quantile(logits[toxic], 0.02)), float(np.quantile(logits[~toxic], quantile or CLEAN_QUANTILE))
+        middle = (low + high) / 2 if low > high else high
+        net.p["o0"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     """None if the rows are all of one class. Every fifth row is held back to set the bias."""
     held = [(t, v) for i, (t, v) in enumerate(zip(texts, labels, strict=True)) if i % 5 == 4 and words_of(t)]
@@ -254,11 +265,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
                 a[at] += 0.1 * (change - a[at])  # of the embeddings, only those in use move
                 b[at] += 0.01 * (change**2 - b[at])
                 v[at] -= rate * (a[at] / (1 - 0.9**step)) / (np.sqrt(b[at] / (1 - 0.99**step)) + 1e-7)
-    # held-back rows set the bias: a score of THRESHOLD lies between the classes
-    if len(held) and (yes := net.logits([t for t, v in held if v])).size and (no := net.logits([t for t, v in held if not v])).size:
-        low, high = float(np.quantile(yes, 0.02)), float(np.quantile(no, 0.995))
-        middle = (low + high) / 2 if low > high else high
-        net.p["o0"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
+    calibrate(net, held)
     return net
 
 
