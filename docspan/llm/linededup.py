@@ -3,7 +3,8 @@
 1. Tasks split texts into lines and emit, for each distinct line, its band keys; lines travel as 64-bit hashes. Lines of a
    task that share a key are linked there, so that a key goes on once for each task; keys travel packed, by ranges.
 2. Lines that share a band key are linked to the first of them; union-find makes candidate groups, which hold every pair
-   that shares a key.
+   that shares a key. Keys that are shared by chance chain lines up, the more the larger the table is; so groups of many
+   lines are split again by links between lines that share a key and whose sketches allow the similarity (an exact bound).
 3. The text of each candidate line is sent once, to its group (large groups are dealt out as pairs of blocks). There the
    exact Jaccard similarity decides for pairs that share a key, unless they are connected already.
 4. Union-find over the verified links; of each component, and of each repeated line, the first occurrence stays.
@@ -28,6 +29,10 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
 BLOCK, BLOCK_BYTES = 1000, 1 << 20
 #: Bytes of text that a task works on at once, lines that it remembers having sent, and keys that it packs at once.
 CHUNK, SEEN, PACKED = 1 << 20, 300_000, 1 << 20
+#: Lines of a candidate group beyond which it is split by sketches, words of a sketch, and lines of a key that are compared all with all.
+SPLIT, WORDS, FEW_LINES = 100, 4, 32
+#: What is known of a line at one of its keys: the number of its different shingles, and the parities of their hashes' counts.
+SKETCH = np.dtype([("key", "<u8"), ("line", "<i8"), ("size", "<u4"), ("bits", "<u8", (WORDS,))])
 #: Bits of the filter of candidate lines, by their number; beyond the most there is no filter, and a join alone finds them.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _RNG = np.random.default_rng(20)
@@ -170,6 +175,130 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from stars(held)
 
 
+def shingle_codes(lines: list[str]) -> np.ndarray:
+    """Each line's set of shingles, in order; a code is the line's number and the high 44 bits of the shingle's hash, mixed."""
+    h, count = shingles(lines)
+    return np.unique(np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(44), count) | h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20))
+
+
+def sketches(lines: list[str], ids: np.ndarray) -> np.ndarray:
+    """A SKETCH for each line and band. Two lines' bits differ in no more places than their sets of shingles differ in members."""
+    codes = shingle_codes(lines)
+    at, width = (codes >> np.uint64(44)).astype(np.int64), 64 * WORDS
+    odd = np.bincount(at * width + (codes % np.uint64(width)).astype(np.int64), minlength=len(lines) * width) & 1
+    out = np.empty((len(lines), BANDS), dtype=SKETCH)
+    out["key"], out["line"] = band_keys(lines), ids[:, None]
+    out["size"] = np.bincount(at, minlength=len(lines))[:, None]
+    out["bits"] = np.packbits(odd.astype(np.uint8)).view("<u8").reshape(-1, 1, WORDS)
+    return out.ravel()
+
+
+def _may_link(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the rows a and b may be as similar as a link needs: of two sets with s members in all, if no more than
+    s (1 - SIMILARITY) / (1 + SIMILARITY) members are in only one of them."""
+    out = np.empty(len(a), dtype=bool)
+    for k in range(0, len(a), 1 << 16):
+        x, y = rows[a[k : k + (1 << 16)]], rows[b[k : k + (1 << 16)]]
+        differ = np.bitwise_count(x["bits"] ^ y["bits"]).sum(axis=1, dtype=np.int64)
+        size = x["size"].astype(np.int64), y["size"].astype(np.int64)
+        differ = np.maximum(differ, np.abs(size[0] - size[1]))
+        out[k : k + (1 << 16)] = differ * (1 + SIMILARITY) <= (size[0] + size[1]) * (1 - SIMILARITY) + 1e-6
+    return out
+
+
+def sketch_links(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of lines that connect, for each key, all those that may be similar enough."""
+    rows = rows[np.lexsort((rows["line"], -rows["size"].astype(np.int64), rows["key"]))]
+    rows = rows[np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["line"][1:] != rows["line"][:-1]))]
+    begins = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
+    sizes = np.diff(np.append(begins, len(rows)))
+    left, right = [], []
+    few = sizes <= FEW_LINES
+    for turn in range(1, int(sizes[few].max(initial=0))):
+        some = few & (sizes > turn)
+        a = split_ranges(begins[some], sizes[some] - turn)
+        near = _may_link(rows, a, a + turn)
+        left.append(a[near])
+        right.append(a[near] + turn)
+    for begin, n in zip(begins[~few].tolist(), sizes[~few].tolist(), strict=True):
+        root, size = np.arange(n), -rows["size"][begin : begin + n].astype(np.int64)
+        for pivot in range(n - 1):  # the largest first; smaller ones than that can't be similar
+            end = int(np.searchsorted(size, size[pivot] * SIMILARITY, side="right"))
+            other = pivot + 1 + np.flatnonzero(root[pivot + 1 : end] != root[pivot])
+            other = other[_may_link(rows, np.full(len(other), begin + pivot), begin + other)]
+            if len(other):
+                left.append(np.full(len(other), begin + pivot))
+                right.append(begin + other)
+                to = np.arange(n)
+                to[root[other]] = root[pivot]
+                root = to[root]
+                if (root == root[0]).all():
+                    break
+    none = np.zeros(0, dtype=np.int64)
+    a, b = (rows["line"][np.concatenate([none, *x])] for x in (left, right))
+    return a, b
+
+
+def _emit_sketches(buckets: int, sent):
+    """(bucket, rows): sketches of the lines that the filter sent lets through, by ranges of keys."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        cuts = np.searchsorted((rows["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        at = np.flatnonzero(cuts[1:] > cuts[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in at], pa.binary())], names=["bucket", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for ids, lines in _let_through(batches, sent):
+            if len(ids):
+                held.append(sketches(lines, ids))
+            if sum(map(len, held)) > PACKED // 4:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (bucket, rows) in order of buckets: sketch_links of each bucket."""
+
+    def links(held: list[bytes]) -> pa.RecordBatch:
+        a, b = sketch_links(np.frombuffer(b"".join(held), dtype=SKETCH))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held: list[bytes] = []
+    last = None
+    for batch in batches:
+        for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != last and held:
+                yield links(held)
+                held = []
+            last = bucket
+            held.append(rows)
+    if held:
+        yield links(held)
+
+
+def _let_through(batches: Iterator[pa.RecordBatch], sent) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The lines that the broadcast filter lets through, with their hashes, most of them once a task."""
+    seen: set[int] = set()
+    for batch in small_batches(batches, 0, CHUNK):
+        if len(seen) > SEEN:
+            seen.clear()
+        lines = list({x for t in batch.column(0).to_pylist() for x in lines_of(t)})
+        if not lines:
+            continue
+        ids = np.fromiter(map(line_id, lines), np.int64, len(lines))
+        hit = np.flatnonzero(has_bit(sent.value, ids))
+        hit = [i for i in hit.tolist() if int(ids[i]) not in seen]
+        seen.update(ids[hit].tolist())
+        yield ids[hit], [lines[i] for i in hit]
+
+
 def verified(group: np.ndarray, lines: list[str], ids: np.ndarray, pairs_only: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that connect, within each group, all the lines that share a key and whose similarity is SIMILARITY or more.
 
@@ -177,9 +306,7 @@ def verified(group: np.ndarray, lines: list[str], ids: np.ndarray, pairs_only: n
     In round r the r-th line of every group, the longest first, is compared with the later ones that it isn't connected with.
     """
     n = len(lines)
-    h, count = shingles(lines)
-    # each line's set, in order; a code is the line's number and the high 44 bits of the shingle's hash, mixed
-    codes = np.unique(np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(44), count) | h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20))
+    codes = shingle_codes(lines)
     size = np.bincount((codes >> np.uint64(44)).astype(np.int64), minlength=n)
     start = np.cumsum(size) - size
     keys = np.zeros((n, BANDS), dtype=np.uint64)
@@ -267,22 +394,12 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = map_arrow(texts, _emit_keys(buckets), "bucket int, keys binary, links binary")
     pairs = map_arrow(keys.repartition("bucket").sortWithinPartitions("bucket"), _stars, "a long, b long")
-    groups = cut(components(pairs))
+    groups = split_groups(texts, cut(components(pairs)), buckets)
     sent = spark.sparkContext.broadcast(line_filter(groups, "node"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in small_batches(batches, 0, CHUNK):
-            if len(seen) > SEEN:
-                seen.clear()
-            lines = list({x for t in batch.column(0).to_pylist() for x in lines_of(t)})
-            if not lines:
-                continue
-            ids = np.fromiter(map(line_id, lines), np.int64, len(lines))
-            hit = np.flatnonzero(has_bit(sent.value, ids))
-            hit = [i for i in hit.tolist() if int(ids[i]) not in seen]
-            seen.update(ids[hit].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([lines[i] for i in hit], pa.string())], names=["line", "words"])
+        for ids, lines in _let_through(batches, sent):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.string())], names=["line", "words"])
 
     rows = map_arrow(texts, candidates, "line long, words string").dropDuplicates(["line"])
     rows = cut(rows.join(groups, F.col("line") == F.col("node")).select("component", "line", "words"))
@@ -296,6 +413,19 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return components(map_arrow(ready, _verify, "a long, b long"))
 
 
+def split_groups(texts: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
+    """(node, component) groups, of which those of more than SPLIT lines are split by sketches; lines that are left alone go."""
+    size = groups.groupBy("component").count()
+    large = cut(groups.join(size.where(F.col("count") > SPLIT), "component", "left_semi").select("node"))
+    if large.isEmpty():
+        return groups
+    sent = texts.sparkSession.sparkContext.broadcast(line_filter(large, "node"))
+    rows = map_arrow(texts, _emit_sketches(buckets, sent), "bucket int, rows binary")
+    found = components(map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket"), _sketch_links, "a long, b long"))
+    # the filter also lets some lines of small groups through, whose groups stay as they are
+    return cut(groups.join(large, "node", "left_anti").select("node", "component").unionByName(found.join(large, "node", "left_semi")))
+
+
 def line_filter(lines: DataFrame, column: str) -> np.ndarray | None:
     """A bit for each line (by its hash), 16 times as many as lines; None if that is more than MOST_BITS."""
     n = lines.count()

@@ -140,6 +140,49 @@ def test_lines_match_brute_force(spark, monkeypatch):
     assert linededup.dedup_lines(docs.where("false")).count() == 0
 
 
+def test_lines_chained_by_chance_are_sent_once(spark, monkeypatch):
+    """Each line shares keys with the next ones, but is similar to none: they are no group whose pairs of blocks get its text."""
+    monkeypatch.setattr(linededup, "BLOCK", 4)
+    monkeypatch.setattr(linededup, "SPLIT", 10, raising=False)
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(2000))
+    lines = [text[8 * i : 8 * i + 60] for i in range(200)]
+    copies = [x + "!" for x in lines[::20]]
+    dealt, real = [], linededup.map_arrow
+
+    def spy(df, run, schema):
+        if run is linededup._verify:
+            dealt.append(df.count())
+        return real(df, run, schema)
+
+    monkeypatch.setattr(linededup, "map_arrow", spy)
+    got = {r.id: r["drop"] for r in linededup.dropped_lines(frame(spark, lines + copies)).collect()}
+    assert got == {200 + k: [0] for k in range(len(copies))}
+    assert sum(dealt) <= len(lines) + len(copies)
+
+
+@pytest.mark.parametrize("few", [1, 32])
+def test_sketches_lose_no_similar_pair(monkeypatch, few):
+    monkeypatch.setattr(linededup, "FEW_LINES", few)
+    rng = random.Random(10)
+    lines = ["", " ", "ab"]
+    for _ in range(30):
+        x = words(rng, rng.choice([3, 20, 60, 300]))
+        for _ in range(6):
+            at = rng.randrange(len(x))
+            lines.append(x := x[:at] + "Q" + x[at + rng.randint(0, 2) :])
+    lines = list(dict.fromkeys(lines[1:]))
+    ids = np.array([linededup.line_id(x) for x in lines])
+    rows = linededup.sketches(lines, ids)
+    at = {x: i for i, x in enumerate(ids.tolist())}
+    part = groups(len(lines), [(at[a], at[b]) for a, b in zip(*(x.tolist() for x in linededup.sketch_links(np.concatenate([rows, rows[::3]]))), strict=True)])
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    keys = linededup.band_keys(lines)
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (keys[i] == keys[j]).any()]
+    assert near and len(set(part)) > 1
+    assert all(part[i] == part[j] for i, j in near)
+
+
 # suffixes
 
 
