@@ -161,6 +161,27 @@ def test_lines_chained_by_chance_are_sent_once(spark, monkeypatch):
     assert sum(dealt) <= len(lines) + len(copies)
 
 
+def test_pipeline_lines_chained_by_chance_are_sent_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(linededup, "BLOCK", 4)
+    monkeypatch.setattr(linededup, "SPLIT", 10, raising=False)
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(1000))
+    lines = [text[8 * i : 8 * i + 60] for i in range(100)]
+    dealt, real = [], linededup.map_arrow
+
+    def spy(df, run, schema):
+        if run is linededup._verify:
+            dealt.append(df.count())
+        return real(df, run, schema)
+
+    monkeypatch.setattr(linededup, "map_arrow", spy)
+    out = corpus_pipeline.cut_lines(spark, frame(spark, [*lines, lines[50] + "!"]), "")
+    assert {r.doc_id: r.text for r in out.collect()} == dict(enumerate([*lines, ""]))
+    assert sum(dealt) <= len(lines) + 1
+
+
 @pytest.mark.parametrize("few", [1, 32])
 def test_sketches_lose_no_similar_pair(monkeypatch, few):
     monkeypatch.setattr(linededup, "FEW_LINES", few)
