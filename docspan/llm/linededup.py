@@ -1,12 +1,13 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact Jaccard verification, distributed union-find.
 
-1. Tasks split texts into lines and emit, for each distinct line, its band keys; lines travel as 64-bit hashes. Lines of a
-   task that share a key are linked there, so that a key goes on once for each task; keys travel packed, by ranges.
-2. Lines that share a band key are linked to the first of them; union-find makes candidate groups, which hold every pair
-   that shares a key. Keys that are shared by chance chain lines up, the more the larger the table is; so groups of many
-   lines are split again by links between lines that share a key and whose sketches allow the similarity (an exact bound).
-3. The text of each candidate line is sent once, to its group (large groups are dealt out as pairs of blocks). There the
-   exact Jaccard similarity decides for pairs that share a key, unless they are connected already.
+1. Tasks split texts into lines and emit, for each distinct line, its band keys, each with two bits of all the line's
+   MinHashes; lines travel as 64-bit hashes, keys packed, by ranges.
+2. Lines that share a band key are linked if those bits agree as often as a similar pair's do (see LEAST_EQUAL); union-find
+   makes candidate groups. The number of pairs that share a key by chance grows with the square of the table; without the
+   test they chain most lines of a large table up, and all their texts are sent.
+3. The text of each candidate line is sent once, to its group. Groups of many lines are split there by links between lines that
+   share a key and whose sketches allow the similarity (an exact bound); what is still large is dealt out as pairs of blocks.
+   The exact Jaccard similarity decides for pairs that share a key, unless they are connected already.
 4. Union-find over the verified links; of each component, and of each repeated line, the first occurrence stays.
 """
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.common import components, cut, fresh_name, local_forest, map_arrow, small_batches, split_ranges
+from docspan.llm.common import components, cut, fresh_name, let_go, local_forest, map_arrow, small_batches, split_ranges
 
 #: Characters in a shingle; bands and rows of the signature; the least Jaccard similarity of a link.
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
@@ -31,6 +32,12 @@ BLOCK, BLOCK_BYTES = 1000, 1 << 20
 CHUNK, SEEN, PACKED = 1 << 20, 300_000, 1 << 20
 #: Lines of a candidate group beyond which it is split by sketches, words of a sketch, and lines of a key that are compared all with all.
 SPLIT, WORDS, FEW_LINES = 100, 4, 32
+#: A line at one of its keys: two bits of each MinHash. Two lines are linked if as many of these pairs of bits are equal; of two
+#: lines of similarity SIMILARITY that share a key fewer are with probability 2e-10, of more similar ones with a smaller one.
+KEYED = np.dtype([("key", "<u8"), ("line", "<i8"), ("brief", "<u4", (BANDS * ROWS // 16,))])
+LEAST_EQUAL = 24
+#: Lines of a key beyond which they are all linked, without a look at the bits; the exact test comes later, as for all.
+MANY_LINES = 1 << 15
 #: What is known of a line at one of its keys: the number of its different shingles, and the parities of their hashes' counts.
 SKETCH = np.dtype([("key", "<u8"), ("line", "<i8"), ("size", "<u4"), ("bits", "<u8", (WORDS,))])
 #: Bits of the filter of candidate lines, by their number; beyond the most there is no filter, and a join alone finds them.
@@ -69,8 +76,8 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, count
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(line, band) keys as unsigned 64-bit numbers."""
+def signatures(lines: list[str]) -> np.ndarray:
+    """(line, permutation) MinHashes."""
     h, count = shingles(lines)
     # the high half of another mix, as the permutations are linear
     x = ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
@@ -84,7 +91,16 @@ def band_keys(lines: list[str]) -> np.ndarray:
         for p in range(BANDS * ROWS):
             sign[at:to, p] = np.minimum.reduceat(part * MULTIPLY[p] + ADD[p], starts)
         at = to
-    keys = np.zeros((len(lines), BANDS), dtype=np.uint64)
+    return sign
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """(line, band) keys as unsigned 64-bit numbers."""
+    return _keys(signatures(lines))
+
+
+def _keys(sign: np.ndarray) -> np.ndarray:
+    keys = np.zeros((len(sign), BANDS), dtype=np.uint64)
     for r in range(ROWS):
         keys = (keys ^ sign[:, r::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
@@ -97,82 +113,76 @@ def lines_of(text: str | None) -> list[str]:
     return [x for x in (text or "").split(LINE_END) if x.strip()]
 
 
-def _first_links(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For keys (unsigned) in order with their lines: where each key begins, and links (a, b) from its other lines to its first."""
-    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    first = np.repeat(line[begins], np.diff(np.append(begins, len(key))))
-    other = line != first
-    return begins, line[other], first[other]
+def keyed(lines: list[str], ids: np.ndarray) -> np.ndarray:
+    """A KEYED row for each line and band."""
+    sign = signatures(lines)
+    two = (sign * np.uint32(0x9E3779B1) >> np.uint32(30)).reshape(len(lines), -1, 16)
+    out = np.empty((len(lines), BANDS), dtype=KEYED)
+    out["key"], out["line"] = _keys(sign), ids[:, None]
+    out["brief"] = np.bitwise_or.reduce(two << np.arange(0, 32, 2, dtype=np.uint32), axis=2)[:, None]
+    return out.ravel()
+
+
+def _brief_near(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether LEAST_EQUAL of the pairs of bits, or more, are equal for the rows a and b."""
+    out = np.empty(len(a), dtype=bool)
+    for k in range(0, len(a), 1 << 16):
+        x = rows["brief"][a[k : k + (1 << 16)]] ^ rows["brief"][b[k : k + (1 << 16)]]
+        differ = np.bitwise_count((x | x >> np.uint32(1)) & np.uint32(0x55555555)).sum(axis=1, dtype=np.int64)
+        out[k : k + (1 << 16)] = differ <= BANDS * ROWS - LEAST_EQUAL
+    return out
+
+
+def _packed(held: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """(bucket, rows): the rows by ranges of their keys."""
+    rows = np.concatenate(held)
+    rows = rows[np.argsort(rows["key"])]
+    cuts = np.searchsorted((rows["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    at = np.flatnonzero(cuts[1:] > cuts[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in at], pa.binary())], names=["bucket", "rows"])
 
 
 def _emit_keys(buckets: int):
-    """(bucket, keys, links): packed (key, line) pairs of a range of keys, one line for each key, and links within the task."""
-
-    def packed(keys: list[np.ndarray], lines: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, line = np.concatenate(keys), np.concatenate(lines)
-        order = np.lexsort((line, key))
-        key, line = key[order], line[order]
-        begins, a, b = _first_links(key, line)
-        key, line = key[begins], line[begins]
-        cuts = np.searchsorted((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-        both = np.stack([key, line.view(np.uint64)], axis=1)
-        at = np.flatnonzero(cuts[1:] > cuts[:-1])
-        blobs = [both[cuts[i] : cuts[i + 1]].tobytes() for i in at]
-        links = [b""] * len(at)
-        if len(a):
-            node, root = local_forest(a, b)
-            own = node != root
-            links[int(key[0] % np.uint64(len(at)))] = np.stack([node[own], root[own]], axis=1).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary()), pa.array(links, pa.binary())], names=["bucket", "keys", "links"])
+    """(bucket, rows): KEYED rows of the lines, most of them once a task, by ranges of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        keys, lines, held = [], [], 0
-        for batch in small_batches(batches, 0, CHUNK):
-            own: dict[int, str] = {}
-            for line in {x for t in batch.column(0).to_pylist() for x in lines_of(t)}:
-                own[line_id(line)] = line
-            ids = [i for i in own if i not in seen]
-            seen.update(ids)
-            if len(seen) > SEEN:
-                seen.clear()
-            if ids:
-                keys.append(band_keys([own[i] for i in ids]).ravel())
-                lines.append(np.repeat(np.array(ids, dtype=np.int64), BANDS))
-                held += len(lines[-1])
-            if held > PACKED:
-                yield from packed(keys, lines)
-                keys, lines, held = [], [], 0
+        held: list[np.ndarray] = []
+        for ids, lines in _let_through(batches, None):
+            if len(ids):
+                held.append(keyed(lines, ids))
+            if sum(map(len, held)) > PACKED:
+                yield _packed(held, buckets)
+                held = []
         if held:
-            yield from packed(keys, lines)
+            yield _packed(held, buckets)
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (bucket, keys, links) rows in order of buckets: links from each line of a key to the first one, and those that came."""
+def _bucket_links(kind: np.dtype, near):
+    """Over (bucket, rows) in order of buckets: links between lines of a bucket, a forest, that connect what key_links does."""
 
-    def stars(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        both = np.frombuffer(b"".join(held), dtype=np.uint64).reshape(-1, 2)
-        order = np.lexsort((both[:, 1].view(np.int64), both[:, 0]))
-        _, a, b = _first_links(both[order, 0], both[order, 1].view(np.int64))
+    def links(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        a, b = key_links(np.frombuffer(b"".join(held), dtype=kind), near)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            node, root = local_forest(a, b)
+            own = node != root
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own])], names=["a", "b"])
 
-    held: list[bytes] = []
-    last = None
-    for batch in batches:
-        for bucket, keys, links in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if bucket != last and held:
-                yield from stars(held)
-                held = []
-            last = bucket
-            held.append(keys)
-            if links:
-                pairs = np.frombuffer(links, dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-    if held:
-        yield from stars(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        last = None
+        for batch in batches:
+            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != last and held:
+                    yield from links(held)
+                    held = []
+                last = bucket
+                held.append(rows)
+        if held:
+            yield from links(held)
+
+    return run
 
 
 def shingle_codes(lines: list[str]) -> np.ndarray:
@@ -208,24 +218,35 @@ def _may_link(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def sketch_links(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) of lines that connect, for each key, all those that may be similar enough."""
-    rows = rows[np.lexsort((rows["line"], -rows["size"].astype(np.int64), rows["key"]))]
-    rows = rows[np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["line"][1:] != rows["line"][:-1]))]
-    begins = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
+    return key_links(rows, _may_link)
+
+
+def key_links(rows: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of lines that connect, for each key of the rows, at least all pairs that near(rows, a, b) lets pass."""
+    rows = rows[np.argsort(rows["key"])]
+    same = rows["key"][1:] == rows["key"][:-1]
+    rows = rows[np.append(same, False) | np.append(False, same)] if len(rows) else rows
+    rows = rows[np.lexsort((rows["line"], rows["key"]))]
+    rows = rows[np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["line"][1:] != rows["line"][:-1]))[: len(rows)]]
+    begins = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1])[: len(rows)])
     sizes = np.diff(np.append(begins, len(rows)))
     left, right = [], []
     few = sizes <= FEW_LINES
     for turn in range(1, int(sizes[few].max(initial=0))):
         some = few & (sizes > turn)
         a = split_ranges(begins[some], sizes[some] - turn)
-        near = _may_link(rows, a, a + turn)
-        left.append(a[near])
-        right.append(a[near] + turn)
+        ok = near(rows, a, a + turn)
+        left.append(a[ok])
+        right.append(a[ok] + turn)
     for begin, n in zip(begins[~few].tolist(), sizes[~few].tolist(), strict=True):
-        root, size = np.arange(n), -rows["size"][begin : begin + n].astype(np.int64)
-        for pivot in range(n - 1):  # the largest first; smaller ones than that can't be similar
-            end = int(np.searchsorted(size, size[pivot] * SIMILARITY, side="right"))
-            other = pivot + 1 + np.flatnonzero(root[pivot + 1 : end] != root[pivot])
-            other = other[_may_link(rows, np.full(len(other), begin + pivot), begin + other)]
+        if n > MANY_LINES:
+            left.append(np.full(n - 1, begin))
+            right.append(np.arange(begin + 1, begin + n))
+            continue
+        root = np.arange(n)
+        for pivot in range(n - 1):
+            other = pivot + 1 + np.flatnonzero(root[pivot + 1 :] != root[pivot])
+            other = other[near(rows, np.full(len(other), begin + pivot), begin + other)]
             if len(other):
                 left.append(np.full(len(other), begin + pivot))
                 right.append(begin + other)
@@ -239,52 +260,24 @@ def sketch_links(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def _emit_sketches(buckets: int, sent):
-    """(bucket, rows): sketches of the lines that the filter sent lets through, by ranges of keys."""
-
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held)
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        cuts = np.searchsorted((rows["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-        at = np.flatnonzero(cuts[1:] > cuts[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in at], pa.binary())], names=["bucket", "rows"])
+def _emit_sketches(buckets: int):
+    """(bucket, rows) over (line, words) rows: the lines' sketches, by ranges of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for ids, lines in _let_through(batches, sent):
-            if len(ids):
-                held.append(sketches(lines, ids))
+        for batch in small_batches(batches, 1, CHUNK):
+            held.append(sketches(batch.column(1).to_pylist(), batch.column(0).to_numpy()))
             if sum(map(len, held)) > PACKED // 4:
-                yield packed(held)
+                yield _packed(held, buckets)
                 held = []
         if held:
-            yield packed(held)
+            yield _packed(held, buckets)
 
     return run
 
 
-def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (bucket, rows) in order of buckets: sketch_links of each bucket."""
-
-    def links(held: list[bytes]) -> pa.RecordBatch:
-        a, b = sketch_links(np.frombuffer(b"".join(held), dtype=SKETCH))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    held: list[bytes] = []
-    last = None
-    for batch in batches:
-        for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket != last and held:
-                yield links(held)
-                held = []
-            last = bucket
-            held.append(rows)
-    if held:
-        yield links(held)
-
-
 def _let_through(batches: Iterator[pa.RecordBatch], sent) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """The lines that the broadcast filter lets through, with their hashes, most of them once a task."""
+    """The lines that the broadcast filter, if there is one, lets through, with their hashes, most of them once a task."""
     seen: set[int] = set()
     for batch in small_batches(batches, 0, CHUNK):
         if len(seen) > SEEN:
@@ -293,8 +286,8 @@ def _let_through(batches: Iterator[pa.RecordBatch], sent) -> Iterator[tuple[np.n
         if not lines:
             continue
         ids = np.fromiter(map(line_id, lines), np.int64, len(lines))
-        hit = np.flatnonzero(has_bit(sent.value, ids))
-        hit = [i for i in hit.tolist() if int(ids[i]) not in seen]
+        hit = np.flatnonzero(has_bit(sent.value if sent else None, ids))
+        hit = [i for i, x in zip(hit.tolist(), ids[hit].tolist(), strict=True) if x not in seen]
         seen.update(ids[hit].tolist())
         yield ids[hit], [lines[i] for i in hit]
 
@@ -392,9 +385,8 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("_t"))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = map_arrow(texts, _emit_keys(buckets), "bucket int, keys binary, links binary")
-    pairs = map_arrow(keys.repartition("bucket").sortWithinPartitions("bucket"), _stars, "a long, b long")
-    groups = split_groups(texts, cut(components(pairs)), buckets)
+    groups = cut(bucket_components(map_arrow(texts, _emit_keys(buckets), "bucket int, rows binary"), KEYED, _brief_near))
+    let_go(spark)  # the keys are the most that is written
     sent = spark.sparkContext.broadcast(line_filter(groups, "node"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +394,7 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lines, pa.string())], names=["line", "words"])
 
     rows = map_arrow(texts, candidates, "line long, words string").dropDuplicates(["line"])
-    rows = cut(rows.join(groups, F.col("line") == F.col("node")).select("component", "line", "words"))
+    rows = split_groups(cut(rows.join(groups, F.col("line") == F.col("node")).select("component", "line", "words")), buckets)
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("words")) / BLOCK_BYTES)).cast("int")
     rows = rows.join(cut(rows.groupBy("component").agg(blocks.alias("blocks"))), "component")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("line"), F.col("blocks").cast("long")).cast("int"))
@@ -413,17 +405,20 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return components(map_arrow(ready, _verify, "a long, b long"))
 
 
-def split_groups(texts: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
-    """(node, component) groups, of which those of more than SPLIT lines are split by sketches; lines that are left alone go."""
-    size = groups.groupBy("component").count()
-    large = cut(groups.join(size.where(F.col("count") > SPLIT), "component", "left_semi").select("node"))
-    if large.isEmpty():
-        return groups
-    sent = texts.sparkSession.sparkContext.broadcast(line_filter(large, "node"))
-    rows = map_arrow(texts, _emit_sketches(buckets, sent), "bucket int, rows binary")
-    found = components(map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket"), _sketch_links, "a long, b long"))
-    # the filter also lets some lines of small groups through, whose groups stay as they are
-    return cut(groups.join(large, "node", "left_anti").select("node", "component").unionByName(found.join(large, "node", "left_semi")))
+def bucket_components(rows: DataFrame, kind: np.dtype, near) -> DataFrame:
+    """components of the links that near lets pass between lines of a key, of (bucket, rows) rows."""
+    return components(map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket"), _bucket_links(kind, near), "a long, b long"))
+
+
+def split_groups(rows: DataFrame, buckets: int) -> DataFrame:
+    """(component, line, words) rows, of which groups of more than SPLIT lines are split by sketches; lines left alone go."""
+    size = cut(rows.groupBy("component").count().where(F.col("count") > SPLIT).select("component"))
+    if size.isEmpty():
+        return rows
+    large = rows.join(size, "component", "left_semi").select("line", "words")
+    found = bucket_components(map_arrow(large, _emit_sketches(buckets), "bucket int, rows binary"), SKETCH, _may_link)
+    parted = large.join(found, F.col("line") == F.col("node")).select("component", "line", "words")
+    return cut(rows.join(size, "component", "left_anti").unionByName(parted))
 
 
 def line_filter(lines: DataFrame, column: str) -> np.ndarray | None:

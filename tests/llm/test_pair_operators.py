@@ -182,6 +182,52 @@ def test_pipeline_lines_chained_by_chance_are_sent_once(spark, monkeypatch):
     assert sum(dealt) <= len(lines) + 1
 
 
+def test_pipeline_lines_that_share_a_key_by_chance_are_not_sent(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    lines = [common + some(70) for common in (some(30) for _ in range(30)) for _ in range(60)]
+    rows = linededup.keyed(lines, np.arange(len(lines)))
+    chance = set(np.concatenate(linededup.key_links(rows, lambda r, a, b: np.ones(len(a), dtype=bool))).tolist())
+    assert len(chance) > 50
+    dealt, real = [], linededup.map_arrow
+
+    def spy(df, run, schema):
+        if run is linededup._verify:
+            dealt.extend(r.words for r in df.collect())
+        return real(df, run, schema)
+
+    monkeypatch.setattr(linededup, "map_arrow", spy)
+    out = corpus_pipeline.cut_lines(spark, frame(spark, [*lines, lines[50] + "!"]), "")
+    assert {r.doc_id: r.text for r in out.collect()} == dict(enumerate([*lines, ""]))
+    assert {lines[50], lines[50] + "!"} <= set(dealt)
+    assert len(dealt) < len(chance) / 2
+
+
+@pytest.mark.parametrize("few,many", [(1, 1 << 15), (32, 1 << 15), (1, 2)])
+def test_bits_of_minhashes_lose_no_similar_pair(monkeypatch, few, many):
+    monkeypatch.setattr(linededup, "FEW_LINES", few)
+    monkeypatch.setattr(linededup, "MANY_LINES", many)
+    rng = random.Random(13)
+    lines = ["", " ", "ab"]
+    for _ in range(40):
+        x = words(rng, rng.choice([3, 20, 60, 300]))
+        for _ in range(8):
+            at = rng.randrange(len(x))
+            lines.append(x := x[:at] + "Q" + x[at + rng.randint(0, 2) :])
+    lines = list(dict.fromkeys(lines[1:]))
+    rows = linededup.keyed(lines, np.arange(len(lines)))
+    assert (rows["key"].reshape(len(lines), -1) == linededup.band_keys(lines)).all()
+    part = groups(len(lines), list(zip(*(x.tolist() for x in linededup.key_links(np.concatenate([rows, rows[::3]]), linededup._brief_near)), strict=True)))
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    keys = linededup.band_keys(lines)
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (keys[i] == keys[j]).any()]
+    assert near and len(set(part)) > 1
+    assert all(part[i] == part[j] for i, j in near)
+    assert not len(linededup.key_links(rows[:0], linededup._brief_near)[0])
+
+
 @pytest.mark.parametrize("few", [1, 32])
 def test_sketches_lose_no_similar_pair(monkeypatch, few):
     monkeypatch.setattr(linededup, "FEW_LINES", few)
