@@ -32,6 +32,8 @@ BLOCK, BLOCK_BYTES = 1000, 1 << 20
 CHUNK, SEEN, PACKED = 1 << 20, 300_000, 1 << 20
 #: Lines of a candidate group beyond which it is split by sketches, words of a sketch, and lines of a key that are compared all with all.
 SPLIT, WORDS, FEW_LINES = 100, 4, 32
+#: Words of the parities by which pairs are ruled out before their shingles are compared.
+PARITIES = 16
 #: A line at one of its keys: two bits of each MinHash. Two lines are linked if as many of these pairs of bits are equal; of two
 #: lines of similarity SIMILARITY that share a key fewer are with probability 2e-10, of more similar ones with a smaller one.
 KEYED = np.dtype([("key", "<u8"), ("line", "<i8"), ("brief", "<u4", (BANDS * ROWS // 16,))])
@@ -188,7 +190,27 @@ def _bucket_links(kind: np.dtype, near):
 def shingle_codes(lines: list[str]) -> np.ndarray:
     """Each line's set of shingles, in order; a code is the line's number and the high 44 bits of the shingle's hash, mixed."""
     h, count = shingles(lines)
-    return np.unique(np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(44), count) | h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20))
+    # np.unique hashes such numbers, which takes many times as long as sorting them
+    codes = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(44), count) | h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20))
+    return codes[np.append(True, codes[1:] != codes[:-1])[: len(codes)]]
+
+
+def parities(codes: np.ndarray, n: int) -> np.ndarray:
+    """For n lines' sets of shingles, 64 PARITIES bits each: whether the number of members with that remainder is odd."""
+    out = np.zeros(n * PARITIES, dtype=np.uint64)
+    place = (codes >> np.uint64(44)) * np.uint64(PARITIES) + (codes >> np.uint64(6)) % np.uint64(PARITIES)
+    np.bitwise_xor.at(out, place.astype(np.int64), np.uint64(1) << (codes & np.uint64(63)))
+    return out.reshape(n, PARITIES)
+
+
+def _differ_little(bits: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the lines a and b may be similar enough, by their parities, which differ in no more places than the sets do."""
+    out = np.empty(len(a), dtype=bool)
+    for k in range(0, len(a), 1 << 13):
+        x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
+        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        out[k : k + (1 << 13)] = differ * (1 + SIMILARITY) <= (size[x] + size[y]) * (1 - SIMILARITY) + 1e-6
+    return out
 
 
 def sketches(lines: list[str], ids: np.ndarray) -> np.ndarray:
@@ -297,11 +319,13 @@ def verified(group: np.ndarray, lines: list[str], ids: np.ndarray, pairs_only: n
 
     group: numbers in order. pairs_only: whether the line's group is a whole candidate group of two, which share a key.
     In round r the r-th line of every group, the longest first, is compared with the later ones that it isn't connected with.
+    Pairs whose parities (as in a sketch, but more) rule the similarity out are not compared shingle by shingle.
     """
     n = len(lines)
     codes = shingle_codes(lines)
     size = np.bincount((codes >> np.uint64(44)).astype(np.int64), minlength=n)
     start = np.cumsum(size) - size
+    bits = parities(codes, n)
     keys = np.zeros((n, BANDS), dtype=np.uint64)
     if (some := np.flatnonzero(~pairs_only)).size:
         keys[some] = band_keys([lines[i] for i in some])
@@ -322,6 +346,8 @@ def verified(group: np.ndarray, lines: list[str], ids: np.ndarray, pairs_only: n
         a, b = a[near], b[near]
         near = pairs_only[a] | (keys[a] == keys[b]).any(axis=1)
         a, b = a[near], b[near]
+        near = _differ_little(bits, size, a, b)
+        a, b = a[near], b[near]
         turn += 1
         for k in range(0, len(a), 4096):
             x, y = a[k : k + 4096], b[k : k + 4096]

@@ -250,6 +250,41 @@ def test_sketches_lose_no_similar_pair(monkeypatch, few):
     assert all(part[i] == part[j] for i, j in near)
 
 
+def test_lines_are_compared_by_shingles_only_if_their_parities_allow_it(monkeypatch):
+    rng = random.Random(14)
+    lines, group = [], []
+    for g in range(20):
+        x = words(rng, rng.choice([20, 60, 200]))
+        for _ in range(12):
+            y = x
+            for _ in range(rng.choice([1, 6, 10])):
+                at = rng.randrange(len(y))
+                y = y[:at] + rng.choice("QXZ") + y[at + 1 :]
+            lines.append(y)
+            group.append(g)
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    keys = linededup.band_keys(lines)
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if group[i] == group[j] and (keys[i] == keys[j]).any() and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    asked, real = [], np.searchsorted
+
+    def spy(codes, ask, *rest, **named):
+        if len(codes) == sum(map(len, sets)):
+            asked.append(len(ask))
+        return real(codes, ask, *rest, **named)
+
+    def run():
+        asked.clear()
+        i, j = linededup.verified(np.array(group), lines, np.arange(len(lines)), np.zeros(len(lines), dtype=bool))
+        return groups(len(lines), list(zip(i.tolist(), j.tolist(), strict=True))), sum(asked)
+
+    monkeypatch.setattr(np, "searchsorted", spy)
+    part, some = run()
+    monkeypatch.setattr(linededup, "_differ_little", lambda bits, size, a, b: np.ones(len(a), dtype=bool))
+    every, most = run()
+    assert part == every == groups(len(lines), near)
+    assert near and some < most / 2
+
+
 # suffixes
 
 
