@@ -38,6 +38,8 @@ PARITIES = 16
 #: lines of similarity SIMILARITY that share a key fewer are with probability 2e-10, of more similar ones with a smaller one.
 KEYED = np.dtype([("key", "<u8"), ("line", "<i8"), ("brief", "<u4", (BANDS * ROWS // 16,))])
 LEAST_EQUAL = 24
+#: The same as it is sent: within a range of keys, the low half of a key stands for it; what is verified has the whole keys.
+SENT = np.dtype([("key", "<u4"), *((name, KEYED[name]) for name in ("line", "brief"))])
 #: Lines of a key beyond which they are all linked, without a look at the bits; the exact test comes later, as for all.
 MANY_LINES = 1 << 15
 #: What is known of a line at one of its keys: the number of its different shingles, and the parities of their hashes' counts.
@@ -135,11 +137,12 @@ def _brief_near(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packed(held: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """(bucket, rows): the rows by ranges of their keys."""
+def _packed(held: list[np.ndarray], buckets: int, kind: np.dtype) -> pa.RecordBatch:
+    """(bucket, rows): the rows by ranges of their keys, as kind."""
     rows = np.concatenate(held)
     rows = rows[np.argsort(rows["key"])]
     cuts = np.searchsorted((rows["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    rows = rows.astype(kind, copy=False)
     at = np.flatnonzero(cuts[1:] > cuts[:-1])
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in at], pa.binary())], names=["bucket", "rows"])
 
@@ -153,10 +156,10 @@ def _emit_keys(buckets: int):
             if len(ids):
                 held.append(keyed(lines, ids))
             if sum(map(len, held)) > PACKED:
-                yield _packed(held, buckets)
+                yield _packed(held, buckets, SENT)
                 held = []
         if held:
-            yield _packed(held, buckets)
+            yield _packed(held, buckets, SENT)
 
     return run
 
@@ -290,10 +293,10 @@ def _emit_sketches(buckets: int):
         for batch in small_batches(batches, 1, CHUNK):
             held.append(sketches(batch.column(1).to_pylist(), batch.column(0).to_numpy()))
             if sum(map(len, held)) > PACKED // 4:
-                yield _packed(held, buckets)
+                yield _packed(held, buckets, SKETCH)
                 held = []
         if held:
-            yield _packed(held, buckets)
+            yield _packed(held, buckets, SKETCH)
 
     return run
 
@@ -411,7 +414,7 @@ def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("_t"))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = cut(bucket_components(map_arrow(texts, _emit_keys(buckets), "bucket int, rows binary"), KEYED, _brief_near))
+    groups = cut(bucket_components(map_arrow(texts, _emit_keys(buckets), "bucket int, rows binary"), SENT, _brief_near))
     let_go(spark)  # the keys are the most that is written
     sent = spark.sparkContext.broadcast(line_filter(groups, "node"))
 
