@@ -277,7 +277,7 @@ class Database:
     def query(self, text: str) -> list[dict]:
         """The documents of a find or an aggregate."""
         r = self.execute(text)
-        return [] if r.relation is None else [json.loads(x.json) for x in io.json_rows(r.relation).toLocalIterator()]
+        return [] if r.relation is None else list(io.json_values(r.relation))
 
     def explain(self, text: str) -> Plan:
         """The plan of any statement; writes and aggregates are not run."""

@@ -182,12 +182,9 @@ class Query:
 
     def documents(self) -> Iterator[dict]:
         """The rows as dictionaries, partition by partition."""
-        import json
+        from docspan.sources.documents import json_values
 
-        from docspan.sources.documents import json_rows
-
-        for r in json_rows(self.run()).toLocalIterator(prefetchPartitions=True):
-            yield json.loads(r.json)
+        yield from json_values(self.run(), prefetch=True)
 
     def to_list(self) -> list[dict]:
         return list(self.documents())

@@ -6,7 +6,8 @@ import csv
 import dataclasses
 import io
 import json
-from collections.abc import Iterable
+import zlib
+from collections.abc import Iterable, Iterator
 from datetime import date, datetime
 from typing import Any
 
@@ -19,6 +20,8 @@ from docspan.functions.values import NUMERIC_TEXT, Value, json_text
 from docspan.relation import DOC, ORD, Relation
 
 MAP = "map<string,variant>"
+#: Bytes of JSON that go to the driver as one deflated block; a longer document is a block of its own.
+BLOCK_BYTES = 1 << 20
 
 
 def new_id() -> Column:
@@ -147,9 +150,40 @@ def json_rows(rel: Relation) -> DataFrame:
     return rel.df.select(rel.id_text().alias("_id"), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
 
 
+def json_blocks(rel: Relation, prefetch: bool = False) -> Iterator[str]:
+    """Each document's compact JSON, in the rows' order, as texts of several with commas between.
+
+    All documents come to the driver, one partition at a time. Their executors deflate them, by blocks, as rows of documents
+    repeat names and values: the driver gets a fraction of their bytes and holds one block as text. prefetch: the next
+    partition is computed meanwhile.
+    """
+    limit = BLOCK_BYTES
+
+    def deflated(rows: Iterator) -> Iterator[bytes]:  # goes to the executors by value
+        block, size = [], 0
+        for r in rows:
+            text = r[0].encode()
+            if block and size + len(text) > limit:
+                yield zlib.compress(b",".join(block))
+                block, size = [], 0
+            block.append(text)
+            size += len(text) + 1
+        if block:
+            yield zlib.compress(b",".join(block))
+
+    for b in json_rows(rel).select("json").rdd.mapPartitions(deflated).toLocalIterator(prefetch):
+        yield zlib.decompress(b).decode()
+
+
+def json_values(rel: Relation, prefetch: bool = False) -> Iterator[dict]:
+    """The documents as dictionaries; see json_blocks()."""
+    for block in json_blocks(rel, prefetch):
+        yield from json.loads(f"[{block}]")
+
+
 def to_json_array(rel: Relation) -> str:
     """A compact JSON array; for results that fit in the driver. write_json() writes any number of rows."""
-    return "[" + ",".join(r.json for r in json_rows(rel).toLocalIterator()) + "]"
+    return "[" + ",".join(json_blocks(rel)) + "]"
 
 
 def write_json(rel: Relation, path: str) -> None:

@@ -343,11 +343,13 @@ def _(s: Stage):
 @facts("stored_iterate", "select 'documents', count(*) from customer union all select 'keys', sum(c_custkey)::bigint from customer union all select 'ordered', 'true'")
 def _(s: Stage):
     c = s.filled("customer", "c_custkey")["customer"]
-    keys = [d["c_custkey"] for d in c.iterate()]
-    yield "documents", len(keys)
-    yield "keys", sum(keys)
+    n = keys = 0
+    for d in c.iterate():
+        n, keys = n + 1, keys + d["c_custkey"]
+    yield "documents", n
+    yield "keys", keys
     c.insert({"_id": "last", "c_custkey": -1})
-    yield "ordered", [d["_id"] for d in c.find().skip(len(keys)).limit(1).to_list()] == ["last"]
+    yield "ordered", [d["_id"] for d in c.find().skip(n).limit(1).to_list()] == ["last"]
 
 
 @add("stored_stage_order", "select n_nationkey from nation where n_nationkey between 3 and 9")

@@ -259,3 +259,39 @@ def test_group_and_lookup_of_documents(db):
 def test_json_text_is_json(db):
     db["j"].insert({"_id": "é\"\n", "s": "ü😀\t", "n": -0.0, "big": 2**60, "f": 1.5})
     assert json.loads(db["j"].export_json())[0] == {"_id": "é\"\n", "s": "ü😀\t", "n": 0, "big": 2**60, "f": 1.5}
+
+
+def sent(spark):
+    """Bytes of all task results so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    gateway = spark.sparkContext._gateway
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+
+def test_documents_go_to_the_driver_deflated(db, spark):
+    c = db["docs"]
+    c.insert_frame(spark.range(20000).selectExpr("cast(id as string) as _id", "id as key", "concat('Customer#', lpad(id, 9, '0')) as name", "'BUILDING' as segment"))
+    for read in (c.iterate, lambda: db.query("db.docs.find({})"), lambda: json.loads(c.export_json())):
+        before = sent(spark)
+        docs = list(read())
+        size = len(json.dumps(docs, separators=(",", ":")))
+        assert size > 1500000 and sent(spark) - before < size / 4
+        assert sorted(d["key"] for d in docs) == list(range(20000))
+        assert all(d == {"_id": str(d["key"]), "key": d["key"], "name": f"Customer#{d['key']:09}", "segment": "BUILDING"} for d in docs)
+
+
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_blocks_of_documents_keep_values_and_order(db, monkeypatch, limit):
+    monkeypatch.setattr("docspan.sources.documents.BLOCK_BYTES", limit)
+    c = db["odd"]
+    assert list(c.iterate()) == db.query("db.odd.find({})") == [] and c.export_json() == "[]"
+    values = ["a,b", "]\n[", '"}', " é\U0001f600", "\0", "", None, [1, [2]], {"x": {}}, 10**15, 0.5, True, "long " * 300]
+    docs = [{"_id": f"{7 * i % 13:02}", "v": v} for i, v in enumerate(values)]
+    c.insert_many(docs)
+    assert sorted(c.iterate(), key=lambda d: d["_id"]) == sorted(docs, key=lambda d: d["_id"])
+    assert c.find().skip(2).limit(9).to_list() == docs[2:11]
+    falling = sorted(docs, key=lambda d: d["_id"], reverse=True)
+    assert c.find().sort("_id", False).to_list() == db.query("db.odd.find({}).sort({ _id: -1 })") == falling
+    assert sorted(json.loads(c.export_json()), key=lambda d: d["_id"], reverse=True) == falling
